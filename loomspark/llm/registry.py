@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomspark.llm import mixing
+from loomspark.llm import langid, mixing, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op5_mix": mixing.op5_mix,
+        "op7_langid": langid.op7_langid,
+        "op8_simhash": simhash.op8_simhash,
     }
 
 
