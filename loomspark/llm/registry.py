@@ -6,14 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomspark.llm import langid, mixing, simhash
+from loomspark.llm import cws, langid, mixing, packing, pii, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op5_mix": mixing.op5_mix,
+        "op6_pack": packing.op6_pack,
         "op7_langid": langid.op7_langid,
         "op8_simhash": simhash.op8_simhash,
+        "op9_pii": pii.op9_pii,
+        "op10_cws": cws.op10_cws,
     }
 
 
