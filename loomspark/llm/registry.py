@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomspark.llm import cws, langid, mixing, packing, pii, simhash
+from loomspark.llm import ann, cws, langid, mixing, packing, pii, simhash, token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_token_counts": token_counts.op3_token_counts,
+        "op4_ann": ann.op4_ann,
         "op5_mix": mixing.op5_mix,
         "op6_pack": packing.op6_pack,
         "op7_langid": langid.op7_langid,
