@@ -1,21 +1,21 @@
 """Subword ids of whole texts, encoded once for each distinct word of a batch.
 
 For the word-level vocabulary white space is dropped and never crosses a token, so a text's ids are
-those of its white-space separated words in order. Words made of letters with at most one closing
-full stop or comma are encoded many at a time; anything else goes through the tokenizer alone.
+those of its white-space separated words in order. The letters of a word that is letters and then
+closing marks are encoded many words at a time; anything else goes through the tokenizer alone.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-_LIMIT = 250_000
+_WORDS, _CORES = 400_000, 600_000
 _CHUNK = 400
-_TAILS = (b".", b",")
+_CLOSING = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 class WordEncoder:
-    """Ids below 2**16 as little-endian bytes, with a bounded cache of words."""
+    """Ids below 2**16 as little-endian bytes, with bounded caches of words and of their letters."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -28,13 +28,14 @@ class WordEncoder:
         for token, i in self.tokenizer.get_vocab().items():
             self.closes[i] = token.endswith("</w>")
         self.known: dict[bytes, bytes] = {}
-        self.tails = {t: self._one(t) for t in _TAILS}
+        self.cores: dict[bytes, bytes] = {}
+        self.tails: dict[bytes, bytes] = {b"": b""}
 
     def _one(self, word: bytes) -> bytes:
         return np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u2").tobytes()
 
-    def _letters(self, cores: list[bytes]) -> dict[bytes, bytes]:
-        out: dict[bytes, bytes] = {}
+    def _letters(self, cores: list[bytes]) -> None:
+        """Adds cores of letters only, many in one call; each is one run that ends with a closing id."""
         for i in range(0, len(cores), _CHUNK):
             part = cores[i : i + _CHUNK]
             ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids, "<u2")
@@ -42,29 +43,34 @@ class WordEncoder:
             if len(ends) == len(part):
                 data, at = ids.tobytes(), 0
                 for core, end in zip(part, (2 * ends).tolist(), strict=True):
-                    out[core] = data[at:end]
+                    self.cores[core] = data[at:end]
                     at = end
             else:
-                out.update((core, self._one(core)) for core in part)
-        return out
+                self.cores.update((core, self._one(core)) for core in part)
 
     def learn(self, words: set[bytes]) -> None:
         """Makes sure that every word is in the cache."""
-        if len(self.known) + len(words) > _LIMIT:
-            self.known = {}
-        split: dict[bytes, tuple[bytes, bytes]] = {}
-        for word in words:
-            if word not in self.known:
-                low = word.lower()
-                tail = low[-1:] if low[-1:] in self.tails else b""
-                core = low[: len(low) - len(tail)]
-                if core and core.decode().isalpha():
-                    split[word] = (core, tail)
-                else:
-                    self.known[word] = self._one(word)
-        cores = self._letters(list({core for core, _ in split.values()}))
-        for word, (core, tail) in split.items():
-            self.known[word] = cores[core] + self.tails.get(tail, b"")
+        new = words.difference(self.known)
+        if len(self.known) + len(new) > _WORDS:
+            self.known, new = {}, words
+        if len(self.cores) + len(new) > _CORES:
+            self.cores = {}
+        split = [(word, low, low.rstrip(_CLOSING)) for word, low in zip(new, map(bytes.lower, new), strict=True)]
+        fresh = {core for _, _, core in split}.difference(self.cores)
+        fresh.discard(b"")
+        self._letters([core for core in fresh if core.decode().isalpha()])
+        for word, low, core in split:
+            ids = self.cores.get(core)
+            if ids is None:
+                self.known[word] = self._one(word)
+                continue
+            tail = low[len(core) :]
+            close = self.tails.get(tail)
+            if close is None:
+                close = self._one(tail)
+                if len(self.tails) < 10_000:
+                    self.tails[tail] = close
+            self.known[word] = ids + close
 
     def encode_batch(self, texts: list[bytes | None]) -> list[np.ndarray]:
         """16-bit ids of each text; null and empty texts have none."""
