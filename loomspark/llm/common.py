@@ -90,15 +90,24 @@ def word_spans(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return change[::2], change[1::2]
 
 
-def word_hashes(data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word: a polynomial over mixed bytes, then a finaliser with the length."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    total = np.empty(len(data) + 1, dtype=np.uint64)
-    total[0] = 0
-    np.cumsum(_BYTE[np.frombuffer(data, np.uint8)] * powers(len(data)), out=total[1:])
-    value = (total[ends] - total[starts]) * powers(len(data), True)[starts]
-    return mix64(value + (ends - starts).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
+def word_hashes(data: bytes, starts: np.ndarray, ends: np.ndarray, slab: int = 1 << 20) -> np.ndarray:
+    """A 64-bit hash of each word: a polynomial over mixed bytes, then a finaliser with the length.
+
+    Works through about ``slab`` bytes at a time, so that scratch space stays small.
+    """
+    out = np.empty(len(starts), np.uint64)
+    raw = np.frombuffer(data, np.uint8)
+    at = 0
+    while at < len(starts):
+        stop = max(at + 1, int(np.searchsorted(starts, starts[at] + slab)))
+        lo, hi = int(starts[at]), int(ends[stop - 1])
+        total = np.empty(hi - lo + 1, dtype=np.uint64)
+        total[0] = 0
+        np.cumsum(_BYTE[raw[lo:hi]] * powers(hi - lo), out=total[1:])
+        s, e = starts[at:stop] - lo, ends[at:stop] - lo
+        out[at:stop] = mix64((total[e] - total[s]) * powers(hi - lo, True)[s] + (e - s).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
+        at = stop
+    return out
 
 
 def gram_hashes(words: np.ndarray, n: int, salt: int = 0) -> np.ndarray:
