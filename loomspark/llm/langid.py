@@ -206,6 +206,24 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     return docs.mapInArrow(run, f"{schema}, lang_pred string, score double")
 
 
+def accept(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` in a language that the model knows with at least ``least`` probability.
+
+    Rows without text or without a letter are rejected. A null lang is filled in; nothing else changes.
+    """
+    held = docs.sparkSession.sparkContext.broadcast(model)
+    names = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = [held.value.predict(x.as_py()) for x in batch.column("text")]
+            lang = [x.as_py() or g for x, (g, _) in zip(batch.column("lang"), got, strict=True)]
+            filled = pa.RecordBatch.from_arrays([pa.array(lang, pa.string()) if c == "lang" else batch.column(c) for c in names], names=names)
+            yield filled.filter(pa.array([g != UNKNOWN and p >= least for g, p in got], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(fold: int = 2, folds: int = 4) -> Column:
     return F.pmod(id_crc("doc_id"), F.lit(folds)) == fold
 

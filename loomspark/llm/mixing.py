@@ -58,16 +58,19 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
+def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = SEED, carry: bool = False) -> DataFrame:
     """One row a document: doc_id, source, size, source_size, target, copies, extra, taken.
 
+    With ``carry`` the whole input row comes along as the struct ``row``.
+
     ``copies`` whole repetitions and ``extra`` words of one more make ``taken``. Null text has size 0;
     a null source is a source of its own. Rows that repeat are documents in their own right: they
     share a seeded position and fill it one after the other. An empty table gives an empty result.
     """
     spread = max(1, math.ceil(docs.count() / BUCKET_DOCS))
     turn = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
-    base = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), turn.alias("turn"))
+    row = [F.struct(*docs.columns).alias("row")] if carry else []
+    base = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), turn.alias("turn"), *row)
     base = base.withColumn("bucket", F.coalesce(F.pmod(F.conv(F.substring("turn", 1, 8), 16, 10).cast("long"), F.lit(spread)), F.lit(0)))
     base = base.repartition("source", "bucket")
     buckets = base.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
@@ -80,7 +83,23 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs:
     rows = rows.withColumn("copies", F.floor(epochs)).withColumn("quota", F.floor((epochs - F.col("copies")) * F.col("bucket_size") + 0.5))
     earlier = W.partitionBy("source", "bucket").orderBy("turn", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
     rows = rows.withColumn("extra", F.greatest(F.lit(0), F.least(F.col("size"), F.col("quota") - F.coalesce(F.sum("size").over(earlier), F.lit(0)))))
-    return rows.select("doc_id", "source", "size", "source_size", "target", "copies", "extra", (F.col("copies") * F.col("size") + F.col("extra")).alias("taken"))
+    taken = (F.col("copies") * F.col("size") + F.col("extra")).alias("taken")
+    return rows.select("doc_id", "source", "size", "source_size", "target", "copies", "extra", taken, *(["row"] if carry else []))
+
+
+def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
+    """The mix itself, with the columns of ``docs``: whole repetitions, and the first words of one more.
+
+    A repetition in part joins its words by single spaces. n_chars, where present, is recounted.
+    Documents without words have nothing to give and are left out.
+    """
+    mixed = mix_sources(docs, weights, max_epochs, seed, carry=True)
+    words = F.slice(F.filter(F.split(F.col("row.text"), r"[\x20\x09-\x0D]+"), lambda w: w != ""), 1, F.col("extra").cast("int"))
+    part = F.when((F.col("extra") > 0) & (F.col("extra") < F.col("size")), F.array(F.array_join(words, " "))).when(F.col("extra") > 0, F.array(F.col("row.text"))).otherwise(F.array().cast("array<string>"))
+    texts = F.concat(F.array_repeat(F.col("row.text"), F.col("copies").cast("int")), part)
+    copies = mixed.where("taken > 0").select("row", F.explode(texts).alias("mixed_text"))
+    made = {"text": F.col("mixed_text"), "n_chars": F.length("mixed_text").cast("long")}
+    return copies.select(*(made[c].alias(c) if c in made else F.col(f"row.`{c}`").alias(c) for c in docs.columns))
 
 
 def op5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

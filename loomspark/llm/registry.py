@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomspark.llm import ann, cws, langid, mixing, packing, pii, simhash, substring, token_counts
+from loomspark.llm import ann, cws, langid, mixing, ngram_lm, packing, pii, simhash, substring, token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_substring_dedup": substring.op1_substring_dedup,
+        "op2_lm_score": ngram_lm.op2_lm_score,
         "op3_token_counts": token_counts.op3_token_counts,
         "op4_ann": ann.op4_ann,
         "op5_mix": mixing.op5_mix,

@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomspark.llm.common import drop_path, materialize, shared_dir, table
@@ -56,7 +57,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in batches:
         texts = batch.column("text").cast(pa.binary())
         values = np.fromiter((fingerprint(x.as_py()) for x in texts), np.uint64, len(texts))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(values.view(np.int64))], names=["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), pa.array(values.view(np.int64))], names=["doc_id", "mark", "fp"])
 
 
 def keys(fp: str, count: int, distance: int = DISTANCE) -> F.Column:
@@ -129,28 +130,48 @@ def link_groups(batches: Iterator[pa.RecordBatch], distance: int = DISTANCE) ->
         yield links(*(np.concatenate(h) for h in held))
 
 
+def _groups(docs: DataFrame, path: str, distance: int) -> tuple[DataFrame, DataFrame]:
+    """Stored fingerprints (doc_id, mark, fp) of all rows, and the root of each distinct fingerprint (fp, first_id, root)."""
+    marked = docs.select("doc_id", F.xxhash64("text").alias("mark"), "text")
+    prints = materialize(marked.mapInArrow(_fingerprints, "doc_id long, mark long, fp long"), f"{path}/prints")
+    distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), f"{path}/distinct")
+    keyed = distinct.select("fp", F.explode(keys("fp", distinct.count(), distance)).alias("k")).select("k.choice", "k.bits", "fp")
+    keyed = keyed.repartition("choice", "bits").sortWithinPartitions("choice", "bits", "fp")
+    edges = keyed.mapInArrow(lambda b: link_groups(b, distance), "u long, v long").distinct()
+    joined = distinct.join(components(edges), F.col("fp") == F.col("node"), "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
+    joined = materialize(joined, f"{path}/roots")
+    drop_path(docs.sparkSession, f"{path}/distinct")
+    return prints, joined
+
+
 def near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """One row a document: doc_id, fp (signed 64 bits), component_id (smallest doc_id reachable).
 
     Null and empty texts have fingerprint zero and link like any other. Rows that repeat keep a row
     each. A null doc_id counts for no minimum; a component of such rows alone has a null id.
     """
-    spark, path = docs.sparkSession, shared_dir(docs.sparkSession)
-    prints = materialize(docs.select("doc_id", "text").mapInArrow(_fingerprints, "doc_id long, fp long"), f"{path}/prints")
-    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    distinct = materialize(distinct, f"{path}/distinct")
-    keyed = distinct.select("fp", F.explode(keys("fp", distinct.count(), distance)).alias("k")).select("k.choice", "k.bits", "fp")
-    keyed = keyed.repartition("choice", "bits").sortWithinPartitions("choice", "bits", "fp")
-    edges = keyed.mapInArrow(lambda b: link_groups(b, distance), "u long, v long").distinct()
-    roots = components(edges)
-    joined = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    joined = materialize(joined, f"{path}/roots")
-    firsts = joined.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = joined.join(firsts, "root").select(F.col("fp").alias("f"), "component_id")
-    drop_path(spark, f"{path}/distinct")
+    prints, roots = _groups(docs, shared_dir(docs.sparkSession), distance)
+    firsts = roots.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    named = roots.join(firsts, "root").select(F.col("fp").alias("f"), "component_id")
     return prints.join(named, F.col("fp") == F.col("f")).select("doc_id", "fp", "component_id")
 
 
+def one_of_each(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """``docs`` with one row of each group: the smallest doc_id, then the smallest hash of the text.
+
+    A null doc_id stays only where its group has no other. Of rows wholly alike in both, one stays.
+    """
+    prints, roots = _groups(docs, shared_dir(docs.sparkSession), distance)
+    rank = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "mark")
+    best = prints.join(roots.select(F.col("fp").alias("f"), "root"), F.col("fp") == F.col("f")).groupBy("root").agg(F.min(rank).alias("best"))
+    best = best.select(F.coalesce("best.doc_id", F.lit(0)).alias("k_id"), F.col("best.nameless").alias("k_null"), F.col("best.mark").alias("k_mark"))
+    row = docs.select(F.struct(*docs.columns).alias("row"))
+    keyed = row.select(F.coalesce("row.doc_id", F.lit(0)).alias("k_id"), F.col("row.doc_id").isNull().alias("k_null"), F.xxhash64("row.text").alias("k_mark"), "row")
+    kept = keyed.join(best, ["k_id", "k_null", "k_mark"], "left_semi")
+    alike = W.partitionBy("k_id", "k_null", "k_mark").orderBy("k_id")
+    return kept.withColumn("k_row", F.row_number().over(alike)).where("k_row = 1").select("row.*")
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints and components of all documents."""
     found = near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
