@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomspark.plans import text_queries
+from loomspark.plans import session_queries, text_queries
 
-_ALL = {**text_queries.QUERIES}
+_ALL = {**text_queries.QUERIES, **session_queries.QUERIES}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

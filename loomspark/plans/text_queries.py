@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomspark.functions import text as tx
 from loomspark.operators import retrieve
-from loomspark.sources.bindings import messages, table, touches, TOUCHES_SQL
+from loomspark.sources.bindings import TOUCHES_SQL, messages, table, touches
 
 TOK = tx.TOKENS_SQL.format
 FREQ_SQL = f"""docs AS (SELECT doc_id, {TOK('text')} AS tokens FROM documents),
