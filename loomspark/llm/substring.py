@@ -30,8 +30,9 @@ from loomspark.llm.common import drop_path, gram_hashes, mix64, shared_dir, tabl
 
 WINDOW = 20
 ANCHOR = 6
-#: Words of a chunk, at least, and anchors or windows of a bucket in expectation.
+#: Words of a chunk, at least, and in expectation anchors or windows of a bucket.
 CHUNK_WORDS = 1_500_000
+ANCHOR_BUCKET = 100_000
 BUCKET = 500_000
 NULL_ID = -(1 << 63)
 
@@ -340,7 +341,7 @@ def deduplicate(docs: DataFrame, batches: int = 3, window: int = WINDOW, anchor:
     own = docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("did"), F.xxhash64("text").alias("mark"), "text")
     size = own.agg(F.sum(F.octet_length("text")).alias("n"), F.percentile_approx("did", [i / batches for i in range(1, batches)], 10_000).alias("cuts")).first()
     words = (size.n or 0) / 6
-    index = FingerprintIndex(spark, f"{path}/index", max(1, math.ceil(words / 8 / BUCKET)), window, anchor)
+    index = FingerprintIndex(spark, f"{path}/index", max(1, math.ceil(words / 8 / ANCHOR_BUCKET)), window, anchor)
     cuts = [None, *dict.fromkeys(size.cuts or []), None]
     for lo, hi in zip(cuts, cuts[1:], strict=False):
         part = own
