@@ -22,8 +22,11 @@ def inverse_frequency(docs: DataFrame) -> DataFrame:
 
 def weights(docs: DataFrame) -> DataFrame:
     """(doc_id, token, w): (1 + ln tf) idf for tokens of positive idf."""
+    n = docs.count()
     tf = docs.select("doc_id", F.explode(tx.tokens(F.col("text"))).alias("token")).groupBy("doc_id", "token").agg(F.count(F.lit(1)).alias("tf"))
-    idf = inverse_frequency(docs).where("idf > 0")
+    # one row a document and token: frequencies come from the same exchange, so texts are split once
+    df = tf.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    idf = df.withColumn("idf", F.log(F.lit(n) / (F.col("df") + 1.0))).where("idf > 0")
     return tf.join(idf, "token").select("doc_id", "token", ((1 + F.log("tf")) * F.col("idf")).alias("w"))
 
 
