@@ -66,5 +66,5 @@ QUERIES = {
       c AS (SELECT e.id, '[Recalled episode ' || e.id || ' — ' || CASE WHEN edits > 0 THEN 'verdict' ELSE 'window_end' END || ', ' || ended || ']' || chr(10) || 'Summary: ' || touches || ' touches' || chr(10) || 'Matched paths: ' || array_to_string(paths[1:3], ', ') AS card FROM episodes e JOIN p USING (id)) SELECT id, card, len(card) AS chars FROM c"""),
     "payload_records": (payload_records, "SELECT conv_id, turn, 'fold-turn' AS kind, true AS same, sha256(text) AS text_sha256 FROM conversations"),
     "usage_ids": (usage_ids, f"WITH {TOUCHES_SQL} SELECT event_id, 'fru:' || pos || ':' || event_id || ':' || url_encode(chr(0) || kind || chr(0) || path) AS id FROM touches WHERE kind = 'mention'"),
-    "claim_escapes": (claim_escapes, r"SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN left(text, 40) || '\\ [ Origin = x] [other]' ELSE text END AS escaped, true AS same FROM conversations"),
+    "claim_escapes": (claim_escapes, r"SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN left(text, 40) || '\\ \u005b Origin = x] [other]' ELSE text END AS escaped, true AS same FROM conversations"),
 }
