@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 
 from loomspark.operators import segment
 
+#: Characters of a card beside the paths it lists.
+CARD = 40
+
 
 def capture(touches: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Episodes (id, session, burst, started, ended, touches, edits) and members (id, path, ...)."""
@@ -55,8 +58,11 @@ def recall(episodes: DataFrame, found: DataFrame, superseded: DataFrame, asked:
     hits = found.where(F.col("path").isin(asked)).groupBy("id").agg(F.array_sort(F.collect_set("path")).alias("paths"))
     hits = hits.join(superseded, "id", "left_anti").join(episodes.select("id", "session", "ended"), "id")
     scored = hits.select("id", "session", "ended", F.array_join("paths", ",").alias("matched"), (F.size("paths") / len(asked)).alias("score"))
-    order = W.orderBy(F.desc("score"), F.desc("ended"), F.desc("id"))
-    cards = scored.withColumn("chars", F.length("matched").cast("long") + 40)
+    best = (F.desc("score"), F.desc("ended"), F.desc("id"))
+    order = W.orderBy(*best)
+    cards = scored.withColumn("chars", F.length("matched").cast("long") + CARD)
+    # a card costs at least CARD, so no more than these can fit: the window sees a top-k, not all hits
+    cards = cards.orderBy(*best).limit(budget // CARD + 1)
     ranked = cards.withColumn("rank", F.row_number().over(order)).withColumn("used", F.sum("chars").over(order.rowsBetween(W.unboundedPreceding, 0)))
     return ranked.where(F.col("used") <= budget)
 
