@@ -152,7 +152,7 @@ def train(docs: DataFrame, learn: Column, per_language: int = PER_LANGUAGE) -> M
     """Learns from the rows of ``docs`` (doc_id, text, lang) that ``learn`` selects and that have a language.
 
     What reaches the driver is bounded by ``DIMS`` and by ``per_language`` sparse vectors for each
-    language. Without labelled text the model has no language and answers ``und``.
+    language, ties of the hash apart. Without labelled text the model has no language and answers ``und``.
     """
     known = docs.where(learn & F.col("lang").isNotNull())
     counts = known.where(F.col("text").isNotNull()).select("text").mapInArrow(_frequencies, "dim int, df long").groupBy("dim").agg(F.sum("df")).collect()
@@ -169,9 +169,8 @@ def train(docs: DataFrame, learn: Column, per_language: int = PER_LANGUAGE) -> M
     limit = chosen.groupBy("lang").agg(F.max("turn").alias("last_turn")).collect()
     if not limit:
         return Model([], np.zeros((DIMS, 0)), np.zeros(0), 1.0)
-    bound = F.lit(False)
-    for lang, last in limit:
-        bound = bound | ((F.col("lang") == lang) & (turn <= last))
+    last = F.map_from_arrays(F.array(*(F.lit(r.lang) for r in limit)), F.array(*(F.lit(r.last_turn) for r in limit)))
+    bound = turn <= F.try_element_at(last, F.col("lang"))
     sample = known.where(F.col("text").isNotNull() & bound).select("lang", "text", turn.alias("turn"))
     got = sample.mapInArrow(_vectors, "lang string, turn long, dims binary, tf binary").collect()
     got = sorted((r.turn, r.lang, bytes(r.dims), bytes(r.tf)) for r in got)
