@@ -50,31 +50,34 @@ class WordEncoder:
 
     def learn(self, words: set[bytes]) -> None:
         """Makes sure that every word is in the cache."""
-        new = words.difference(self.known)
+        new = list(words.difference(self.known))
         if len(self.known) + len(new) > _WORDS:
-            self.known, new = {}, words
+            self.known, new = {}, list(words)
         if len(self.cores) + len(new) > _CORES:
             self.cores = {}
-        split = [(word, low, low.rstrip(_CLOSING)) for word, low in zip(new, map(bytes.lower, new), strict=True)]
-        fresh = {core for _, _, core in split}.difference(self.cores)
+        cores = [word.rstrip(_CLOSING) for word in map(bytes.lower, new)]
+        fresh = set(cores).difference(self.cores)
         fresh.discard(b"")
         self._letters([core for core in fresh if core.decode().isalpha()])
-        for word, low, core in split:
-            ids = self.cores.get(core)
+        known, find, tails = self.known, self.cores.get, self.tails
+        for word, core in zip(new, cores, strict=True):
+            ids = find(core)
             if ids is None:
-                self.known[word] = self._one(word)
-                continue
-            tail = low[len(core) :]
-            close = self.tails.get(tail)
-            if close is None:
-                close = self._one(tail)
-                if len(self.tails) < 10_000:
-                    self.tails[tail] = close
-            self.known[word] = ids + close
+                known[word] = self._one(word)
+            elif len(core) == len(word):
+                known[word] = ids
+            else:
+                tail = word[len(core) :]
+                close = tails.get(tail)
+                if close is None:
+                    close = self._one(tail)
+                    if len(tails) < 10_000:
+                        tails[tail] = close
+                known[word] = ids + close
 
     def encode_batch(self, texts: list[bytes | None]) -> list[np.ndarray]:
         """16-bit ids of each text; null and empty texts have none."""
-        words = [(t or b"").split() for t in texts]
+        words = [t.lower().split() if t and b"<|" not in t else (t or b"").split() for t in texts]
         self.learn(set().union(*words))
         get = self.known.__getitem__
         return [np.frombuffer(b"".join(map(get, w)), "<u2") for w in words]
