@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -232,6 +233,7 @@ def _window_rows(buckets: int, window: int, anchor: int):
     """Windows that elected a candidate: one entry a chunk, bucket and hash; repeats within the chunk settled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name = TaskContext.get().partitionId() << 32
         for dids, marks, texts, places in _chunks(batches, ["did", "mark", "text", "places"]):
             chunk = Chunk([t or b"" for t in texts])
             starts, at, _ = chunk.windows(window, anchor)
@@ -250,55 +252,80 @@ def _window_rows(buckets: int, window: int, anchor: int):
             new = np.r_[True, hashes[1:] != hashes[:-1]] if len(hashes) else np.zeros(0, bool)
             lead = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
             repeated = (rank[doc] != rank[doc[lead]]) | (place != place[lead])
-            rows = _per_document(doc[repeated], place[repeated], ids)
+            name += 1
+            rows = [(-1 - name % 997, name, None, *_compact_places(doc[repeated], place[repeated], ids))] if repeated.any() else []
             hashes, doc, place = hashes[new], doc[new], place[new]
             for k, part in _parts(_dealt(hashes, buckets)):
-                docs, slot = np.unique(doc[part], return_inverse=True)
-                rows.append((k, None, None, hashes[part].tobytes(), ids[docs].tobytes(), np.stack([slot.astype(np.int32), place[part].astype(np.int32)], axis=1).tobytes()))
+                rows.append((k, name, hashes[part].tobytes(), *_compact_places(doc[part], place[part], ids)))
             yield _answer(rows)
 
     return run
 
 
-_ANSWER = "bucket int, did long, mark long, hashes binary, ids binary, places binary"
+_ANSWER = "bucket int, chunk long, hashes binary, ids binary, places binary"
 
 
 def _answer(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
-    columns = list(zip(*rows, strict=True)) or [()] * 6
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["bucket", "did", "mark", "hashes", "ids", "places"])
+    kinds = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+    columns = list(zip(*rows, strict=True)) or [()] * 5
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["bucket", "chunk", "hashes", "ids", "places"])
 
 
-def _per_document(doc: np.ndarray, place: np.ndarray, ids: np.ndarray) -> list[tuple]:
-    """Rows of repeated window starts, one a document, under buckets below zero."""
-    by = np.lexsort((place, doc))
-    doc, place = doc[by], place[by].astype(np.int32)
-    new = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]) if len(doc) else np.zeros(0, np.int64)
-    ends, data = np.r_[new[1:], len(doc)][: len(new)], place.tobytes()
-    return [(-1 - int(doc[a]) % 997, int(ids[doc[a], 0]), int(ids[doc[a], 1]), None, None, data[4 * a : 4 * b]) for a, b in zip(new.tolist(), ends.tolist(), strict=True)]
+def _compact_places(doc: np.ndarray, place: np.ndarray, ids: np.ndarray) -> tuple[bytes, bytes]:
+    """The ids of the documents that occur, and for each entry its document among them and its place."""
+    docs, slot = np.unique(doc, return_inverse=True)
+    return ids[docs].tobytes(), np.stack([slot.astype(np.int32), place.astype(np.int32)], axis=1).tobytes()
 
 
-def _settle(found: pa.Table) -> pa.Table:
-    """Of the equal windows of a bucket all but the earliest are repeated; settled rows pass."""
-    if found["bucket"][0].as_py() < 0:
-        return found
-    hashes, ids, slots, places, base = [], [], [], [], 0
-    for h, i, p in zip(*(found[c].to_pylist() for c in ("hashes", "ids", "places")), strict=True):
+def _spread(rows: list[tuple[bytes, bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, document of each entry and its place, of several compact blobs end to end."""
+    ids, slots, places, base = [], [], [], 0
+    for i, p in rows:
         own, spot = np.frombuffer(i, np.int64).reshape(-1, 2), np.frombuffer(p, np.int32).reshape(-1, 2)
-        hashes.append(np.frombuffer(h, np.uint64))
         ids.append(own)
-        slots.append(spot[:, 0] + base)
+        slots.append(spot[:, 0].astype(np.int64) + base)
         places.append(spot[:, 1])
         base += len(own)
-    hashes, slots, places = np.concatenate(hashes), np.concatenate(slots), np.concatenate(places)
-    distinct, rank = np.unique(np.concatenate(ids), axis=0, return_inverse=True)
+    return np.concatenate(ids), np.concatenate(slots), np.concatenate(places)
+
+
+def _settle(found: pa.Table) -> pa.Table:
+    """Tells each chunk which of its windows in a bucket are repeated: all but the earliest of equal ones.
+
+    What a chunk has settled itself passes.
+    """
+    if found["bucket"][0].as_py() < 0:
+        return found
+    questions = [np.frombuffer(h, np.uint64) for h in found["hashes"].to_pylist()]
+    hashes, chunk = np.concatenate(questions), np.repeat(np.asarray(found["chunk"]), [len(q) for q in questions])
+    ids, slots, places = _spread(list(zip(found["ids"].to_pylist(), found["places"].to_pylist(), strict=True)))
+    distinct, rank = np.unique(ids, axis=0, return_inverse=True)
     doc = rank.reshape(-1)[slots]
     by = np.lexsort((places, doc, hashes))
-    hashes, doc, places = hashes[by], doc[by], places[by]
+    hashes, doc, places, chunk = hashes[by], doc[by], places[by], chunk[by]
     new = np.r_[True, hashes[1:] != hashes[:-1]]
     lead = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
-    repeated = (doc != doc[lead]) | (places != places[lead])
-    return pa.Table.from_batches([_answer(_per_document(doc[repeated], places[repeated], distinct))])
+    repeated = np.flatnonzero((doc != doc[lead]) | (places != places[lead]))
+    repeated = repeated[np.lexsort((places[repeated], doc[repeated], chunk[repeated]))]
+    doc, places, chunk = doc[repeated], places[repeated], chunk[repeated]
+    bucket = found["bucket"][0].as_py()
+    return pa.Table.from_batches([_answer([(bucket, int(chunk[part[0]]), None, *_compact_places(doc[part], places[part], distinct)) for _, part in _parts(chunk)])])
+
+
+_STARTS = "did long, mark long, places binary"
+
+
+def _gather(found: pa.Table) -> pa.Table:
+    """One row a document of a chunk: the starts of its repeated windows."""
+    ids, slots, places = _spread(list(zip(found["ids"].to_pylist(), found["places"].to_pylist(), strict=True)))
+    distinct, rank = np.unique(ids, axis=0, return_inverse=True)
+    doc = rank.reshape(-1)[slots]
+    by = np.lexsort((places, doc))
+    doc, data = doc[by], places[by].astype(np.int32).tobytes()
+    new = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]) if len(doc) else np.zeros(0, np.int64)
+    ends = np.r_[new[1:], len(doc)][: len(new)]
+    own = distinct[doc[new]]
+    return pa.table([pa.array(own[:, 0]), pa.array(own[:, 1]), pa.array([data[4 * a : 4 * b] for a, b in zip(new.tolist(), ends.tolist(), strict=True)], pa.binary())], names=["did", "mark", "places"])
 
 
 def _removed(words: int, starts: np.ndarray, window: int) -> np.ndarray:
@@ -353,6 +380,7 @@ def deduplicate(docs: DataFrame, batches: int = 3, window: int = WINDOW, anchor:
     buckets = max(1, math.ceil(words / 3 / BUCKET))
     asked = own.join(index.candidates(), "did").select("did", "mark", "text", "places")
     found = asked.mapInArrow(_window_rows(buckets, window, anchor), _ANSWER).groupBy("bucket").applyInArrow(_settle, _ANSWER)
+    found = found.select("chunk", "ids", "places").groupBy("chunk").applyInArrow(_gather, _STARTS)
     starts = found.groupBy("did").agg(F.collect_list(F.struct("mark", "places")).alias("found"))
     whole = own.join(starts, "did", "left").select(F.expr(f"nullif(did, CAST({NULL_ID} AS BIGINT))").alias("doc_id"), "mark", "text", "found")
     return whole.mapInArrow(_kept(window, with_text), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
