@@ -389,3 +389,15 @@ def deduplicate(docs: DataFrame, batches: int = 3, window: int = WINDOW, anchor:
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What every document keeps once its repeated passages are removed."""
     return deduplicate(table(spark, sf_dir, "documents", "doc_id", "text")).drop("kept_text")
+
+
+#: The same rows by comparing whole windows as text.
+DEDUP_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+k AS (SELECT doc_id, s, array_to_string(w[s:s + 19], ' ') AS words FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS s FROM d)),
+r AS (SELECT doc_id, s FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY words ORDER BY doc_id, s) AS n FROM k) WHERE n > 1),
+g AS (SELECT DISTINCT doc_id, unnest(range(s, s + 20)) AS p FROM r),
+n AS (SELECT doc_id, p, w[p] AS word FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS p FROM d)),
+kept AS (SELECT n.doc_id, string_agg(word, ' ' ORDER BY n.p) AS t, count(*) AS c FROM n ANTI JOIN g ON n.doc_id = g.doc_id AND n.p = g.p GROUP BY n.doc_id)
+SELECT d.doc_id, len(w) AS n_words, len(w) - coalesce(c, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)
+"""
