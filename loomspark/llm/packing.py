@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.llm.common import materialize, mix64, shared_dir, table
+from loomspark.llm.common import arrow_rows, materialize, mix64, shared_dir, table
 from loomspark.llm.subwords import encoder
 
 WINDOW = 2048
@@ -179,7 +179,8 @@ def pack_documents(docs: DataFrame, vocabulary: str, window: int = WINDOW) -> Da
     ids are written once, before they are dealt by range.
     """
     path = shared_dir(docs.sparkSession)
-    cut = materialize(cut_documents(docs, vocabulary, window), f"{path}/cut")
+    with arrow_rows(docs.sparkSession, 512):
+        cut = materialize(cut_documents(docs, vocabulary, window), f"{path}/cut")
     dealt = cut.repartitionByRange("place", "doc_id", "start").sortWithinPartitions("place", "doc_id", "start")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 
-_WORDS, _CORES = 400_000, 600_000
+_WORDS, _CORES = 250_000, 300_000
 _CHUNK = 400
 _CLOSING = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -52,7 +52,8 @@ class WordEncoder:
         """Makes sure that every word is in the cache."""
         new = list(words.difference(self.known))
         if len(self.known) + len(new) > _WORDS:
-            self.known, new = {}, list(words)
+            # what this batch uses stays: frequent words survive, rare ones make room
+            self.known = {word: self.known[word] for word in words.intersection(self.known)}
         if len(self.cores) + len(new) > _CORES:
             self.cores = {}
         cores = [word.rstrip(_CLOSING) for word in map(bytes.lower, new)]
