@@ -161,7 +161,11 @@ def one_of_each(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
 
     A null doc_id stays only where its group has no other. Of rows wholly alike in both, one stays.
     """
-    prints, roots = _groups(docs, shared_dir(docs.sparkSession), distance)
+    return keep_first(docs, *_groups(docs, shared_dir(docs.sparkSession), distance))
+
+
+def keep_first(docs: DataFrame, prints: DataFrame, roots: DataFrame) -> DataFrame:
+    """The first row of each root, from (doc_id, mark, fp) of all rows and (fp, root)."""
     rank = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "mark")
     best = prints.join(roots.select(F.col("fp").alias("f"), "root"), F.col("fp") == F.col("f")).groupBy("root").agg(F.min(rank).alias("best"))
     best = best.select(F.coalesce("best.doc_id", F.lit(0)).alias("k_id"), F.col("best.nameless").alias("k_null"), F.col("best.mark").alias("k_mark"))
