@@ -18,7 +18,7 @@ def raw_messages(spark: SparkSession, d: str) -> DataFrame:
     plain = F.to_json(F.struct("role", F.col("text").alias("content")))
     name = F.when(F.col("turn") % 3 == 0, "Edit").otherwise("Read")
     use = block(F.lit("assistant").alias("role"), F.array(F.struct(F.lit("tool_use").alias("type"), F.concat(F.lit("t"), F.col("turn").cast("string")).alias("id"), name.alias("name"), F.struct(path.alias("file_path")).alias("input"))).alias("content"))
-    result = block(F.lit("user").alias("role"), F.array(F.struct(F.lit("tool_result").alias("type"), F.concat(F.lit("t"), F.col("turn").cast("string")).alias("tool_use_id"), F.left("text", F.lit(300)).alias("content"))).alias("content"))
+    result = block(F.lit("user").alias("role"), F.array(F.struct(F.lit("tool_result").alias("type"), F.concat(F.lit("t"), F.col("turn").cast("string")).alias("tool_use_id"), F.col("text").alias("content"))).alias("content"))
     calls = (F.col("role") == "assistant") & (F.col("turn") % 2 == 1)
     rows = F.when(calls, F.array(use, result, plain)).otherwise(F.array(plain))
     return m.select("session", "turn", F.posexplode(rows).alias("i", "raw")).select("session", (F.col("turn") * 3 + F.col("i")).alias("pos"), "raw")
@@ -30,7 +30,7 @@ def _touches(spark: SparkSession, d: str) -> DataFrame:
 
 def tool_call_pairs(spark: SparkSession, d: str) -> DataFrame:
     c = decode.tool_calls(decode.decode(raw_messages(spark, d)))
-    return c.select("session", "pos", "name", F.length("result").cast("long").alias("result_chars"))
+    return c.select("session", "pos", "name", F.least(F.length("result"), F.lit(300)).cast("long").alias("result_chars"))
 
 
 def turn_categories(spark: SparkSession, d: str) -> DataFrame:
