@@ -6,6 +6,8 @@ newest folded turn to the oldest; adjacent folded turns of one quiet category co
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -15,11 +17,71 @@ from loomspark.operators import budgets, decode
 KEEP_TURNS, FULL, ESSENCE, MARK = 20, 4_000, 8_000, "⟨folded⟩"
 
 
+_FILLER = [
+    r"^(Let me|I'll|I will|I need to|I should|I want to|Going to|I'm going to)\b",
+    r"^(Okay|OK|Sure|Got it|Understood|Alright|Great|Perfect|Right|Interesting|Good question)\b[.,!]?\s*$",
+    r"^(Looking at|Checking|Examining|Investigating|Searching|Now let|Let's see)\b",
+    r"^(As (you can see|mentioned|expected|we discussed))\b",
+    r"^(I (think|believe|suspect|notice|see) (that )?)",
+]
+_KEPT = [
+    r"\bdecision\b",
+    r"\bbecause\b",
+    r"\bthe (fix|issue|problem|bug|solution|answer|reason|cause) (is|was)\b",
+    r"\bconclu(sion|de)\b",
+    r"\bfound (that|the)\b",
+    r"\bturns out\b",
+    r"→",
+    r"\bmu(st|stn't)\b",
+    r"\bbreaking change\b",
+    r"\bhazard\b",
+    r"\b(?:chose|selected|prefer(?:red)?|went with|opt(?:ed)?|decided)\b",
+    r"\btrade[- ]?off\b",
+    r"\balternative\b",
+    r"\binstead of\b",
+    r"\brather than\b",
+    r"\breject(?:ed|ing)?\b",
+    r"\bdue to\b",
+    r"^[-*•]\s",
+    r"^\d+\.\s",
+    r"^#+\s",
+    r"^\|",
+]
+_FILLER, _KEPT = (re.compile("|".join(f"(?:{p})" for p in x), re.I | re.A) for x in (_FILLER, _KEPT))
+_units = lambda text: len(text.encode("utf-16-le", "surrogatepass")) // 2
+
+
+def essence_of(text: str | None) -> str | None:
+    """``text`` without filler and without long prose that gives no reason; code and the first line stay. Lengths are in UTF-16 units."""
+    if not text or _units(text) < 50:
+        return text
+    kept, code, first = [], False, False
+    for line in text.split("\n"):
+        bare = line.strip()
+        if bare.startswith("```"):
+            code = not code
+            kept.append(line)
+        elif code:
+            kept.append(line)
+        elif not bare:
+            if kept and kept[-1].strip():
+                kept.append("")
+        elif not first:
+            first = True
+            kept.append(line)
+        elif _KEPT.search(bare) or not _FILLER.search(bare) and _units(bare) <= 250:
+            kept.append(line)
+    while kept and not kept[-1].strip():
+        kept.pop()
+    result, size = "\n".join(kept), _units(text)
+    if _units(result) < size * 0.1 and size > 200:
+        return text.encode("utf-16-le", "surrogatepass")[: 2 * min(200, size // 5)].decode("utf-16-le", "ignore") + "…"
+    return result
+
+
 def essence(text: F.Column) -> F.Column:
-    """The first line, and later lines that state a fact: a path, a number, a list item or code."""
-    lines = F.split(text, "\n")
-    telling = F.filter(F.slice(lines, 2, 10_000), lambda x: x.rlike(r"[/\\][\w.-]+|[0-9]|^\s*[-*`]") & (F.length(x) <= 250))
-    return F.array_join(F.concat(F.slice(lines, 1, 1), telling), "\n")
+    """``essence_of`` as a column."""
+    return F.udf(essence_of, "string", useArrow=True)(text)
 
 
 def folded_turns(m: DataFrame, keep: int = KEEP_TURNS, full: int = FULL, brief: int = ESSENCE) -> DataFrame:
