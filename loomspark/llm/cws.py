@@ -57,13 +57,26 @@ def sample(term: Column, log_weight: Column, slot: int) -> Column:
     return F.shiftleft(F.floor((rank + 128.0) * float(1 << 23)), 32).bitwiseOR(F.shiftrightunsigned(term, 9).bitwiseXOR(t).bitwiseAND(F.lit(0xFFFFFFFF)))
 
 
-def signatures(texts: DataFrame, keys: list[str], slots: int = SLOTS) -> DataFrame:
-    """(keys, text) to (keys, slot_0 ...): 32-bit identities; a text without words has -1 everywhere."""
-    words = texts.select(*keys, F.explode_outer(F.split("text", r"[\x20\x09-\x0D]+")).alias("word"))
-    words = words.select(*keys, F.when(F.col("word") != "", F.xxhash64("word")).alias("term"))
-    counted = words.groupBy(*keys, "term").agg(F.log(F.count(F.lit(1)).cast("double")).alias("log_weight"))
-    picked = counted.groupBy(*keys).agg(*(F.min(F.when(F.col("term").isNotNull(), sample(F.col("term"), F.col("log_weight"), k))).alias(f"slot_{k}") for k in range(slots)))
-    return picked.select(*keys, *(F.coalesce(F.col(f"slot_{k}").bitwiseAND(F.lit(0xFFFFFFFF)), F.lit(-1)).alias(f"slot_{k}") for k in range(slots)))
+def signatures(texts: DataFrame, keys: list[str], columns: list[str], slots: int = SLOTS) -> DataFrame:
+    """(keys, a column of text or more) to (keys, for each such column an array of identities of 32 bits).
+
+    A text without words has -1 everywhere. Each distinct word of a row is counted once in every
+    column; one of equal weight in all of them, as most words that an edit leaves alone, is sampled once.
+    """
+    n = len(columns)
+    each = F.explode(F.array(*(F.struct(F.lit(i).alias("of"), F.col(c).alias("text")) for i, c in enumerate(columns))))
+    words = texts.select(*keys, each.alias("x")).select(*keys, "x.of", F.explode_outer(F.split("x.text", r"[\x20\x09-\x0D]+")).alias("word"))
+    words = words.select(*keys, "of", F.when(F.col("word") != "", F.xxhash64("word")).alias("term"))
+    counted = words.groupBy(*keys, "term").agg(*(F.count_if(F.col("of") == i).alias(f"n_{i}") for i in range(n)))
+    weighed = lambda mask, i: F.struct(F.lit(mask).alias("mask"), F.col(f"n_{i}").alias("n"))
+    alike = F.greatest(*(f"n_{i}" for i in range(n))) == F.least(*(f"n_{i}" for i in range(n))) if n > 1 else F.lit(True)
+    rows = F.when(alike, F.array(weighed((1 << n) - 1, 0))).otherwise(F.array(*(weighed(1 << i, i) for i in range(n))))
+    weights = counted.select(*keys, "term", F.explode(rows).alias("x")).where("x.n > 0").select(*keys, "term", "x.mask", F.log(F.col("x.n").cast("double")).alias("log_weight"))
+    least = weights.groupBy(*keys, "mask").agg(*(F.min(F.when(F.col("term").isNotNull(), sample(F.col("term"), F.col("log_weight"), k))).alias(f"slot_{k}") for k in range(slots)))
+    own = lambda i, k: F.min(F.when(F.col("mask").bitwiseAND(1 << i) != 0, F.col(f"slot_{k}")))
+    picked = least.groupBy(*keys).agg(*(own(i, k).alias(f"slot_{i}_{k}") for i in range(n) for k in range(slots)))
+    identity = lambda i, k: F.coalesce(F.col(f"slot_{i}_{k}").bitwiseAND(F.lit(0xFFFFFFFF)), F.lit(-1))
+    return picked.select(*keys, *(F.array(*(identity(i, k) for k in range(slots))).alias(f"slots_{i}") for i in range(n)))
 
 
 def likeness(a: str, b: str, slots: int) -> Column:
@@ -99,10 +112,7 @@ def fingerprints(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
     both = base.join(heads, _KEY)
     edited = F.concat(F.expr("left(text, length(text) - cast(floor(length(text) / 2) as int))"), F.col("head"))
     both = both.select(*_KEY, "text", edited.alias("edited"))
-    kinds = F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("text")), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("text"))))
-    signed = signatures(both.select(*_KEY, kinds.alias("x")).select(*_KEY, "x.kind", "x.text"), [*_KEY, "kind"], slots)
-    signed = signed.select(*_KEY, "kind", F.array(*(f"slot_{k}" for k in range(slots))).alias("slots"))
-    pair = signed.groupBy(*_KEY).agg(F.max(F.when(F.col("kind") == 0, F.col("slots"))).alias("slots"), F.max(F.when(F.col("kind") == 1, F.col("slots"))).alias("edited_slots"))
+    pair = signatures(both, _KEY, ["text", "edited"], slots).withColumnsRenamed({"slots_0": "slots", "slots_1": "edited_slots"})
     digests = both.select(*_KEY, F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"))
     one = materialize(pair.join(digests, _KEY), f"{path}/slots")
     after = one.select(F.col("did").alias("next_did"), F.col("mark").alias("next_mark"), F.col("slots").alias("next_slots"))

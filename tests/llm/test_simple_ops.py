@@ -245,10 +245,26 @@ def test_collision_rate_is_generalised_jaccard(spark):
     ca, cb = Counter(a), Counter(b)
     want = sum((ca & cb).values()) / sum((ca | cb).values())
     df = spark.createDataFrame([(0, " ".join(a)), (1, " ".join(b))], "k long, text string")
-    x, y = cws.signatures(df, ["k"], 400).orderBy("k").drop("k").collect()
+    x, y = (row.slots_0 for row in cws.signatures(df, ["k"], ["text"], 400).orderBy("k").collect())
     assert abs(np.mean([p == q for p, q in zip(x, y)]) - want) < 0.08
 
 
+def test_collision_rate_at_the_registered_slots(spark):
+    r = random.Random(9)
+    rows, want = [], []
+    for k in range(150):
+        a = [f"w{r.randint(0, 60)}-{k}" for _ in range(120)]
+        b = a[:90] + [f"w{r.randint(0, 90)}-{k}" for _ in range(r.randint(5, 60))]
+        ca, cb = Counter(a), Counter(b)
+        rows.append((k, " ".join(a), " ".join(b)))
+        want.append(sum((ca & cb).values()) / sum((ca | cb).values()))
+    df = spark.createDataFrame(rows, "k long, a string, b string")
+    got = [np.mean([p == q for p, q in zip(x.slots_0, x.slots_1)]) for x in cws.signatures(df, ["k"], ["a", "b"]).orderBy("k").collect()]
+    error = np.array(got) - np.array(want)
+    assert abs(error.mean()) < 0.02  # the mean of 150 draws of 32 slots
+    assert np.sqrt((error**2).mean()) < 0.11  # the binomial error of 32 slots is at most 0.09
+
+
 def test_packing_round_trip(spark):
     from tokenizers import Tokenizer
 
