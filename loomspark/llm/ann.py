@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomspark.llm.common import materialize, shared_dir, table
+from loomspark.llm.common import mapped, materialize, shared_dir, table
 
 SAMPLE = 12_000
 CENTROIDS = 16
@@ -188,7 +188,7 @@ def search(vectors: DataFrame, is_query: F.Column, k: int = 5, rerank: int = RER
             packed = pack(book.codes(x / np.sqrt((x * x).sum(1))[:, None])) if len(x) else np.zeros((0, 1), np.uint8)
             yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("v"), pa.array([p.tobytes() for p in packed], pa.binary())], names=["vec_id", "v", "codes"])
 
-    rows = materialize(good.mapInArrow(code, "vec_id long, v array<double>, codes binary"), f"{path}/codes")
+    rows = materialize(good.transform(mapped, code, "vec_id long, v array<double>, codes binary"), f"{path}/codes")
     queries = rows.where(is_query).select("vec_id", "v").distinct()
     row_blocks, query_blocks = math.ceil(total / ROW_BLOCK), max(1, math.ceil(queries.count() / QUERY_BLOCK))
     left = rows.withColumn("r", F.pmod(F.xxhash64("vec_id", "codes"), F.lit(row_blocks)).cast("int")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,16 +42,29 @@ def materialize(df: DataFrame, path: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-@contextlib.contextmanager
-def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Within it, batches to Python hold at most ``rows`` rows; for jobs that run inside, with long texts."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
+#: Bytes of an Arrow batch to Python, unless the session has a bound that is not Spark's own.
+BATCH_BYTES, _SPARKS_BYTES = "8m", "67108864b"
+
+
+def _free() -> None:
+    """Gives freed memory back, so that a worker that waits for its next task holds little."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``df.mapInArrow(run, schema)`` with batches bounded by bytes, whatever the length of texts."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if df.sparkSession.conf.get(key, _SPARKS_BYTES) == _SPARKS_BYTES:
+        df.sparkSession.conf.set(key, BATCH_BYTES)
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        _free()
+
+    return df.mapInArrow(whole, schema)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:

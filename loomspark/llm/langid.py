@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomspark.llm.common import id_crc, table
+from loomspark.llm.common import id_crc, mapped, table
 
 DIMS = 1 << 16
 PER_LANGUAGE = 600
@@ -155,7 +155,7 @@ def train(docs: DataFrame, learn: Column, per_language: int = PER_LANGUAGE) -> M
     language, ties of the hash apart. Without labelled text the model has no language and answers ``und``.
     """
     known = docs.where(learn & F.col("lang").isNotNull())
-    counts = known.where(F.col("text").isNotNull()).select("text").mapInArrow(_frequencies, "dim int, df long").groupBy("dim").agg(F.sum("df")).collect()
+    counts = known.where(F.col("text").isNotNull()).select("text").transform(mapped, _frequencies, "dim int, df long").groupBy("dim").agg(F.sum("df")).collect()
     df, texts = np.zeros(DIMS), 0
     for dim, n in counts:
         if dim < 0:
@@ -172,7 +172,7 @@ def train(docs: DataFrame, learn: Column, per_language: int = PER_LANGUAGE) -> M
     last = F.map_from_arrays(F.array(*(F.lit(r.lang) for r in limit)), F.array(*(F.lit(r.last_turn) for r in limit)))
     bound = turn <= F.try_element_at(last, F.col("lang"))
     sample = known.where(F.col("text").isNotNull() & bound).select("lang", "text", turn.alias("turn"))
-    got = sample.mapInArrow(_vectors, "lang string, turn long, dims binary, tf binary").collect()
+    got = sample.transform(mapped, _vectors, "lang string, turn long, dims binary, tf binary").collect()
     got = sorted((r.turn, r.lang, bytes(r.dims), bytes(r.tf)) for r in got)
     languages = sorted({r[1] for r in got})
     rows = []
@@ -202,7 +202,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             got = [held.value.predict(x.as_py()) for x in batch.column("text")]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=[*rest, "lang_pred", "score"])
 
-    return docs.mapInArrow(run, f"{schema}, lang_pred string, score double")
+    return docs.transform(mapped, run, f"{schema}, lang_pred string, score double")
 
 
 def accept(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
@@ -220,7 +220,7 @@ def accept(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
             filled = pa.RecordBatch.from_arrays([pa.array(lang, pa.string()) if c == "lang" else batch.column(c) for c in names], names=names)
             yield filled.filter(pa.array([g != UNKNOWN and p >= least for g, p in got], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.transform(mapped, run, docs.schema)
 
 
 def held_out(fold: int = 2, folds: int = 4) -> Column:

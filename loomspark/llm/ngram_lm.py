@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.llm.common import id_crc, materialize, mix64, shared_dir, table, word_hashes, word_spans
+from loomspark.llm.common import id_crc, mapped, materialize, mix64, shared_dir, table, word_hashes, word_spans
 from loomspark.llm.substring import _parts
 
 CHUNK_BYTES = 12_000_000
@@ -211,13 +211,13 @@ def score(docs: DataFrame, held_out: F.Column, left_out: F.Column) -> DataFrame:
     """
     spark, path = docs.sparkSession, shared_dir(docs.sparkSession)
     role = F.when(held_out, HELD_OUT).when(left_out, LEFT_OUT).otherwise(COUNTED).alias("role")
-    store = materialize(docs.select("doc_id", role, "text").mapInArrow(_store, _CHUNK), f"{path}/store")
+    store = materialize(docs.select("doc_id", role, "text").transform(mapped, _store, _CHUNK), f"{path}/store")
     size = store.agg(F.sum(F.octet_length("index") / 4), F.sum(F.octet_length("words") / 8), F.sum(F.when(F.col("role") != HELD_OUT, F.octet_length("ids") / 16)), F.sum(F.when(F.col("role") == COUNTED, F.octet_length("ids") / 16))).first()
     tokens, words, documents, fewer = (int(x or 0) for x in size)
     word_buckets, pair_buckets = max(1, math.ceil(words / BUCKET)), max(1, math.ceil(tokens / BUCKET))
 
     def answers(buckets: int, pairs: bool, name: str) -> DataFrame:
-        asked = store.mapInArrow(_ask(buckets, pairs), _ASK)
+        asked = store.transform(mapped, _ask(buckets, pairs), _ASK)
         return materialize(asked.groupBy("bucket").applyInArrow(_say, _SAY), f"{path}/{name}")
 
     about_words, about_pairs = answers(word_buckets, False, "words"), answers(pair_buckets, True, "pairs")

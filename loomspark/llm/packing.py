@@ -20,12 +20,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.llm.common import arrow_rows, materialize, mix64, shared_dir, table
+from loomspark.llm.common import mapped, materialize, mix64, shared_dir, table
 from loomspark.llm.subwords import encoder
 
 WINDOW = 2048
 END = 1
-SHARD = 256
+SHARD = 1024
 K1, B = 1.2, 0.75
 
 _CUT = "doc_id long, start long, length long, doc_tokens long, crc long, place long, ids binary"
@@ -47,27 +47,25 @@ def cut_documents(docs: DataFrame, vocabulary: str, window: int = WINDOW, keep_i
     """Whole windows of each document, and its left-over with ids (16 bits each)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary).encode_batch
-        for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
-                names = batch.column("doc_id").to_pylist()
-                rows = []
-                for doc_id, ids in zip(names, encode(batch.column("text").cast(pa.binary()).to_pylist()), strict=True):
-                    ids = np.append(ids, np.uint16(END))
-                    for start in range(0, len(ids), window):
-                        piece = ids[start : start + window]
-                        full = len(piece) == window
-                        rows.append((doc_id, start, len(piece), len(ids), crc(piece) if full else -1, place(piece), piece.astype("<u2").tobytes() if keep_ids or not full else None))
-                columns = list(zip(*rows, strict=True)) or [()] * 7
-                kinds = [pa.int64()] * 6 + [pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "start", "length", "doc_tokens", "crc", "place", "ids"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, _CUT)
+        words = encoder(vocabulary)
+        for batch in batches:
+            names, rows = batch.column("doc_id").to_pylist(), []
+            for doc_id, ids in zip(names, words.encode_batch(batch.column("text").cast(pa.binary()).to_pylist()), strict=True):
+                ids = np.append(ids, np.uint16(END))
+                for start in range(0, len(ids), window):
+                    piece = ids[start : start + window]
+                    full = len(piece) == window
+                    rows.append((doc_id, start, len(piece), len(ids), crc(piece) if full else -1, place(piece), piece.astype("<u2").tobytes() if keep_ids or not full else None))
+            columns = list(zip(*rows, strict=True)) or [()] * 7
+            kinds = [pa.int64()] * 6 + [pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "start", "length", "doc_tokens", "crc", "place", "ids"])
+        words.forget()
+
+    return docs.select("doc_id", "text").transform(mapped, run, _CUT)
 
 
 class Shard:
-    """An inverted index over the distinct ids of a few hundred left-overs."""
+    """An inverted index over the distinct ids of the left-overs of a shard."""
 
     def __init__(self, pieces: list[np.ndarray]) -> None:
         n = len(pieces)
@@ -179,8 +177,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, window: int = WINDOW) -> Da
     ids are written once, before they are dealt by range.
     """
     path = shared_dir(docs.sparkSession)
-    with arrow_rows(docs.sparkSession, 512):
-        cut = materialize(cut_documents(docs, vocabulary, window), f"{path}/cut")
+    cut = materialize(cut_documents(docs, vocabulary, window), f"{path}/cut")
     dealt = cut.repartitionByRange("place", "doc_id", "start").sortWithinPartitions("place", "doc_id", "start")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,7 +192,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, window: int = WINDOW) -> Da
         packer.end()
         yield packer.batch()
 
-    return dealt.mapInArrow(run, _PACKED)
+    return dealt.transform(mapped, run, _PACKED)
 
 
 def default_vocabulary() -> str:

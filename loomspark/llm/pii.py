@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from loomspark.llm.common import table
+from loomspark.llm.common import mapped, table
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -344,7 +344,7 @@ def find_personal_data(docs: DataFrame, model: Model) -> DataFrame:
             columns = [pa.array([c[i] for c in counts], pa.int64()) for i in range(4)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns, pa.array(digests, pa.string()), pa.array(texts, pa.string())], names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, _FOUND)
+    return docs.select("doc_id", "text").transform(mapped, run, _FOUND)
 
 
 def mask(text: str, spans: list[tuple[str, int, int]]) -> str:
@@ -370,7 +370,7 @@ def redact(docs: DataFrame, model: Model) -> DataFrame:
                 made["n_chars"] = pa.array([None if t is None else len(t) for t in texts], pa.int64())
             yield pa.RecordBatch.from_arrays([made.get(c, batch.column(c)) for c in names], names=names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.transform(mapped, run, schema)
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

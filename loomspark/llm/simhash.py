@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomspark.llm.common import drop_path, materialize, shared_dir, table
+from loomspark.llm.common import drop_path, mapped, materialize, shared_dir, table
 from loomspark.llm.graph import components
 
 SHINGLE = 4
@@ -133,11 +133,11 @@ def link_groups(batches: Iterator[pa.RecordBatch], distance: int = DISTANCE) ->
 def _groups(docs: DataFrame, path: str, distance: int) -> tuple[DataFrame, DataFrame]:
     """Stored fingerprints (doc_id, mark, fp) of all rows, and the root of each distinct fingerprint (fp, first_id, root)."""
     marked = docs.select("doc_id", F.xxhash64("text").alias("mark"), "text")
-    prints = materialize(marked.mapInArrow(_fingerprints, "doc_id long, mark long, fp long"), f"{path}/prints")
+    prints = materialize(marked.transform(mapped, _fingerprints, "doc_id long, mark long, fp long"), f"{path}/prints")
     distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), f"{path}/distinct")
     keyed = distinct.select("fp", F.explode(keys("fp", distinct.count(), distance)).alias("k")).select("k.choice", "k.bits", "fp")
     keyed = keyed.repartition("choice", "bits").sortWithinPartitions("choice", "bits", "fp")
-    edges = keyed.mapInArrow(lambda b: link_groups(b, distance), "u long, v long").distinct()
+    edges = keyed.transform(mapped, lambda b: link_groups(b, distance), "u long, v long").distinct()
     joined = distinct.join(components(edges), F.col("fp") == F.col("node"), "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     joined = materialize(joined, f"{path}/roots")
     drop_path(docs.sparkSession, f"{path}/distinct")

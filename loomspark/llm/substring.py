@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.llm.common import drop_path, gram_hashes, mix64, shared_dir, table, word_hashes, word_spans
+from loomspark.llm.common import drop_path, gram_hashes, mapped, mix64, shared_dir, table, word_hashes, word_spans
 
 WINDOW = 20
 ANCHOR = 6
@@ -193,7 +193,7 @@ class FingerprintIndex:
 
     def ingest(self, docs: DataFrame) -> None:
         """Adds a batch (did, text): writes its run and the candidate places that it brings."""
-        rows = docs.select("did", "text").mapInArrow(_anchor_rows(self.buckets, self.window, self.anchor), _ENTRY)
+        rows = docs.select("did", "text").transform(mapped, _anchor_rows(self.buckets, self.window, self.anchor), _ENTRY)
         found = rows.groupBy("bucket").cogroup(self._read(self.runs, _RUN).groupBy("bucket")).applyInArrow(_probe, _ENTRY)
         self.made += 1
         path = f"{self.path}/batch-{self.made}"
@@ -225,7 +225,7 @@ class FingerprintIndex:
                     data, ends = place.tobytes(), np.r_[new[1:], len(did)][: len(new)]
                     yield pa.RecordBatch.from_arrays([pa.array(did[new]), pa.array([data[4 * a : 4 * b] for a, b in zip(new.tolist(), ends.tolist(), strict=True)], pa.binary())], names=["did", "places"])
 
-        flags = self._read(self.flags, _FLAG).select("dids", "places").mapInArrow(rows, "did long, places binary")
+        flags = self._read(self.flags, _FLAG).select("dids", "places").transform(mapped, rows, "did long, places binary")
         return flags.groupBy("did").agg(F.collect_list("places").alias("places"))
 
 
@@ -379,11 +379,11 @@ def deduplicate(docs: DataFrame, batches: int = 3, window: int = WINDOW, anchor:
         index.ingest(part)
     buckets = max(1, math.ceil(words / 3 / BUCKET))
     asked = own.join(index.candidates(), "did").select("did", "mark", "text", "places")
-    found = asked.mapInArrow(_window_rows(buckets, window, anchor), _ANSWER).groupBy("bucket").applyInArrow(_settle, _ANSWER)
+    found = asked.transform(mapped, _window_rows(buckets, window, anchor), _ANSWER).groupBy("bucket").applyInArrow(_settle, _ANSWER)
     found = found.select("chunk", "ids", "places").groupBy("chunk").applyInArrow(_gather, _STARTS)
     starts = found.groupBy("did").agg(F.collect_list(F.struct("mark", "places")).alias("found"))
     whole = own.join(starts, "did", "left").select(F.expr(f"nullif(did, CAST({NULL_ID} AS BIGINT))").alias("doc_id"), "mark", "text", "found")
-    return whole.mapInArrow(_kept(window, with_text), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    return whole.transform(mapped, _kept(window, with_text), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

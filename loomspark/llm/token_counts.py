@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.llm.common import table
+from loomspark.llm.common import mapped, table
 
 LEAF = 64
 #: Characters to the right of a pre-token that can decide where it ends.
@@ -198,7 +198,7 @@ def build_trees(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
                 leaves = [pa.array([m[j].astype(np.int32) for m in made], pa.list_(pa.int32())) for j in (0, 1)]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), *leaves], names=["doc_id", "text", "chars", "tokens"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, _TREE)
+    return docs.select("doc_id", "text").transform(mapped, run, _TREE)
 
 
 def apply_edits(trees: DataFrame, ranks: str, pattern: str) -> DataFrame:
@@ -225,7 +225,7 @@ def apply_edits(trees: DataFrame, ranks: str, pattern: str) -> DataFrame:
                 rows.append((doc_id, before, int(tree.tokens[1]), n_chars, len(text), tree.leaves * LEAF, again))
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (list(zip(*rows, strict=True)) or [()] * 7)], names=[c.split()[0] for c in _COUNTS.split(", ")])
 
-    return trees.select("doc_id", "text", "chars", "tokens", "edits").mapInArrow(run, _COUNTS)
+    return trees.select("doc_id", "text", "chars", "tokens", "edits").transform(mapped, run, _COUNTS)
 
 
 def revision(text: F.Column) -> F.Column:
