@@ -73,10 +73,12 @@ def signatures(texts: DataFrame, keys: list[str], columns: list[str], slots: int
     rows = F.when(alike, F.array(weighed((1 << n) - 1, 0))).otherwise(F.array(*(weighed(1 << i, i) for i in range(n))))
     weights = counted.select(*keys, "term", F.explode(rows).alias("x")).where("x.n > 0").select(*keys, "term", "x.mask", F.log(F.col("x.n").cast("double")).alias("log_weight"))
     least = weights.groupBy(*keys, "mask").agg(*(F.min(F.when(F.col("term").isNotNull(), sample(F.col("term"), F.col("log_weight"), k))).alias(f"slot_{k}") for k in range(slots)))
-    own = lambda i, k: F.min(F.when(F.col("mask").bitwiseAND(1 << i) != 0, F.col(f"slot_{k}")))
-    picked = least.groupBy(*keys).agg(*(own(i, k).alias(f"slot_{i}_{k}") for i in range(n) for k in range(slots)))
-    identity = lambda i, k: F.coalesce(F.col(f"slot_{i}_{k}").bitwiseAND(F.lit(0xFFFFFFFF)), F.lit(-1))
-    return picked.select(*keys, *(F.array(*(identity(i, k) for k in range(slots))).alias(f"slots_{i}") for i in range(n)))
+    # at most one row for each column and one for all: their arrays are merged by expressions of fixed size
+    least = least.groupBy(*keys).agg(F.collect_list(F.struct("mask", F.array(*(f"slot_{k}" for k in range(slots))).alias("slots"))).alias("rows"))
+    none = F.array_repeat(F.lit(None).cast("long"), slots)
+    merged = lambda i: F.aggregate(F.filter("rows", lambda r: r["mask"].bitwiseAND(1 << i) != 0), none, lambda have, r: F.zip_with(have, r["slots"], lambda a, b: F.least(a, b)))
+    identity = lambda x: F.coalesce(x.bitwiseAND(F.lit(0xFFFFFFFF)), F.lit(-1))
+    return least.select(*keys, *(F.transform(merged(i), identity).alias(f"slots_{i}") for i in range(n)))
 
 
 def likeness(a: str, b: str, slots: int) -> Column:
