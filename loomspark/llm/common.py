@@ -140,12 +140,12 @@ def word_hashes(data: bytes, starts: np.ndarray, ends: np.ndarray, slab: int = 1
     return out
 
 
-def gram_hashes(words: np.ndarray, n: int, salt: int = 0) -> np.ndarray:
-    """A 64-bit hash of every run of ``n`` consecutive word hashes."""
+def gram_hashes(words: np.ndarray, n: int, salt: int = 0, base: np.uint64 = _BASE) -> np.ndarray:
+    """A 64-bit hash of every run of ``n`` consecutive word hashes; another base gives an independent one."""
     m = len(words) - n + 1
     if m <= 0:
         return np.zeros(0, np.uint64)
     out = np.zeros(m, dtype=np.uint64)
     for i in range(n):
-        out = out * _BASE + words[i : i + m]
+        out = out * base + words[i : i + m]
     return mix64(out + np.uint64(salt))

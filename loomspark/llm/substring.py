@@ -7,9 +7,9 @@ The index is a log-structured merge tree of anchors: immutable runs, each cut in
 and sorted within. A new batch is merge-joined bucket by bucket with every run; an anchor met before
 (in a run or in the batch) is a candidate, with the place of its first occurrence. Anchors not met
 before make the batch's own run, and when as many runs as ``fanout`` have gathered they are compacted
-into one. Candidates are then verified on the windows themselves: windows that elected a candidate
-are compared by a 64-bit hash of all 20 words within buckets of a second one, and all but the earliest
-of equal windows are repeated. A document loses each word that a repeated window covers.
+into one. Candidates are then verified on the windows themselves: windows that elected a candidate are
+compared by 128 bits, two hashes of all 20 words that share no base, and all but the earliest of equal
+windows are repeated. A document loses each word that a repeated window covers.
 
 Common passages do not gather in one task: a chunk of documents sends each anchor and each window
 once, with its earliest place, and settles its other occurrences itself.
@@ -229,6 +229,18 @@ class FingerprintIndex:
         return flags.groupBy("did").agg(F.collect_list("places").alias("places"))
 
 
+def window_hashes(words: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of every window: different bases over differently mixed words."""
+    return gram_hashes(words, window, salt=0x5851F42D4C957F2D), gram_hashes(mix64(words + np.uint64(0x2545F4914F6CDD1D)), window, base=np.uint64(0xC2B2AE3D27D4EB4F))
+
+
+def _first_of_equal(hashes: np.ndarray, checks: np.ndarray) -> np.ndarray:
+    """Whether an entry differs from the one before it, in sorted order."""
+    if not len(hashes):
+        return np.zeros(0, bool)
+    return np.r_[True, (hashes[1:] != hashes[:-1]) | (checks[1:] != checks[:-1])]
+
+
 def _window_rows(buckets: int, window: int, anchor: int):
     """Windows that elected a candidate: one entry a chunk, bucket and hash; repeats within the chunk settled."""
 
@@ -242,21 +254,21 @@ def _window_rows(buckets: int, window: int, anchor: int):
                 spots = np.frombuffer(b"".join(blobs), np.int32) + first
                 candidate[spots[spots < len(chunk.words)]] = True
             starts = starts[candidate[at]]
-            hashes = gram_hashes(chunk.words, window, salt=0x5851F42D4C957F2D)[starts] if len(starts) else np.zeros(0, np.uint64)
+            hashes, checks = (h[starts] if len(starts) else np.zeros(0, np.uint64) for h in window_hashes(chunk.words, window))
             ids = np.stack([np.array(dids, np.int64), np.array(marks, np.int64)], axis=1)
             rank = np.unique(ids, axis=0, return_inverse=True)[1].reshape(-1)
             doc = chunk.doc[starts]
             place = starts - chunk.first[doc]
-            by = np.lexsort((place, rank[doc], hashes))
-            starts, hashes, doc, place = starts[by], hashes[by], doc[by], place[by]
-            new = np.r_[True, hashes[1:] != hashes[:-1]] if len(hashes) else np.zeros(0, bool)
+            by = np.lexsort((place, rank[doc], checks, hashes))
+            hashes, checks, doc, place = hashes[by], checks[by], doc[by], place[by]
+            new = _first_of_equal(hashes, checks)
             lead = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
             repeated = (rank[doc] != rank[doc[lead]]) | (place != place[lead])
             name += 1
             rows = [(-1 - name % 997, name, None, *_compact_places(doc[repeated], place[repeated], ids))] if repeated.any() else []
-            hashes, doc, place = hashes[new], doc[new], place[new]
+            hashes, checks, doc, place = hashes[new], checks[new], doc[new], place[new]
             for k, part in _parts(_dealt(hashes, buckets)):
-                rows.append((k, name, hashes[part].tobytes(), *_compact_places(doc[part], place[part], ids)))
+                rows.append((k, name, np.stack([hashes[part], checks[part]]).tobytes(), *_compact_places(doc[part], place[part], ids)))
             yield _answer(rows)
 
     return run
@@ -296,14 +308,15 @@ def _settle(found: pa.Table) -> pa.Table:
     """
     if found["bucket"][0].as_py() < 0:
         return found
-    questions = [np.frombuffer(h, np.uint64) for h in found["hashes"].to_pylist()]
-    hashes, chunk = np.concatenate(questions), np.repeat(np.asarray(found["chunk"]), [len(q) for q in questions])
+    questions = [np.frombuffer(h, np.uint64).reshape(2, -1) for h in found["hashes"].to_pylist()]
+    hashes, checks = np.concatenate(questions, axis=1)
+    chunk = np.repeat(np.asarray(found["chunk"]), [q.shape[1] for q in questions])
     ids, slots, places = _spread(list(zip(found["ids"].to_pylist(), found["places"].to_pylist(), strict=True)))
     distinct, rank = np.unique(ids, axis=0, return_inverse=True)
     doc = rank.reshape(-1)[slots]
-    by = np.lexsort((places, doc, hashes))
-    hashes, doc, places, chunk = hashes[by], doc[by], places[by], chunk[by]
-    new = np.r_[True, hashes[1:] != hashes[:-1]]
+    by = np.lexsort((places, doc, checks, hashes))
+    hashes, checks, doc, places, chunk = hashes[by], checks[by], doc[by], places[by], chunk[by]
+    new = _first_of_equal(hashes, checks)
     lead = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
     repeated = np.flatnonzero((doc != doc[lead]) | (places != places[lead]))
     repeated = repeated[np.lexsort((places[repeated], doc[repeated], chunk[repeated]))]
@@ -365,7 +378,7 @@ def deduplicate(docs: DataFrame, batches: int = 3, window: int = WINDOW, anchor:
     doc_id are ordered by a hash of their text, and wholly equal rows are one document to each other.
     """
     spark, path = docs.sparkSession, shared_dir(docs.sparkSession)
-    own = docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("did"), F.xxhash64("text").alias("mark"), "text")
+    own = docs.select("doc_id", F.coalesce("doc_id", F.lit(NULL_ID)).alias("did"), F.xxhash64("text", F.col("doc_id").isNull()).alias("mark"), "text")
     size = own.agg(F.sum(F.octet_length("text")).alias("n"), F.percentile_approx("did", [i / batches for i in range(1, batches)], 10_000).alias("cuts")).first()
     words = (size.n or 0) / 6
     index = FingerprintIndex(spark, f"{path}/index", max(1, math.ceil(words / 8 / ANCHOR_BUCKET)), window, anchor)
@@ -382,7 +395,7 @@ def deduplicate(docs: DataFrame, batches: int = 3, window: int = WINDOW, anchor:
     found = asked.transform(mapped, _window_rows(buckets, window, anchor), _ANSWER).groupBy("bucket").applyInArrow(_settle, _ANSWER)
     found = found.select("chunk", "ids", "places").groupBy("chunk").applyInArrow(_gather, _STARTS)
     starts = found.groupBy("did").agg(F.collect_list(F.struct("mark", "places")).alias("found"))
-    whole = own.join(starts, "did", "left").select(F.expr(f"nullif(did, CAST({NULL_ID} AS BIGINT))").alias("doc_id"), "mark", "text", "found")
+    whole = own.join(starts, "did", "left").select("doc_id", "mark", "text", "found")
     return whole.transform(mapped, _kept(window, with_text), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
 
 
