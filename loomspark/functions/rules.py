@@ -1,14 +1,13 @@
 """Rules as named SQL expressions: applied to a DataFrame step by step, or spelled out as one query.
 
 A step is a dictionary from new column to expression; expressions see the columns of earlier steps
-only. The text is Spark SQL restricted to what DuckDB also knows; ``duck`` rewrites the four forms
-whose names differ (raw literals, regular-expression tests, replace-all and array membership).
+only. The text is SQL that both Spark and DuckDB know, but for names that ``spark`` and ``duck`` rewrite.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 
@@ -22,24 +21,40 @@ def apply(df: DataFrame, steps: Sequence[Step]) -> DataFrame:
     return df
 
 
+def _calls(expression: str, name: str, render: Callable[[str], str]) -> str:
+    """Every call of ``name`` replaced by what ``render`` makes of its arguments."""
+    while (found := re.search(rf"\b{name}\(", expression)) is not None:
+        at, depth, quoted = found.end(), 1, False
+        while depth:
+            c = expression[at]
+            quoted ^= c == "'"
+            depth += 0 if quoted else (c == "(") - (c == ")")
+            at += 1
+        expression = expression[: found.start()] + render(expression[found.end() : at - 1]) + expression[at:]
+    return expression
+
+
 def spark(expression: str) -> str:
-    """The expression for Spark: ``replace_all`` is its ``regexp_replace``."""
-    return expression.replace("replace_all(", "regexp_replace(")
+    """The expression for Spark, with the shared names for what is called differently."""
+    out = re.sub(r"\breplace_all\(", "regexp_replace(", expression)
+    out = _calls(out, "digest", lambda x: f"sha2({x}, 256)")
+    out = _calls(out, "iso_ms", lambda x: f"unix_millis(try_to_timestamp({x}))")
+    return _calls(out, "units", lambda x: f"CAST(octet_length(encode({x}, 'UTF-16BE')) / 2 AS BIGINT)")
+
+
+_DUCK = {"regexp_like(": "regexp_matches(", "size(": "len(", "array_intersect(": "list_intersect(", "array_distinct(": "list_distinct(", "filter(": "list_filter(", "transform(": "list_transform(", "array_sort(": "list_sort(", "array_join(": "array_to_string("}
 
 
 def duck(expression: str) -> str:
     """The expression for DuckDB."""
-    out = re.sub(r"\br'", "'", expression).replace("regexp_like(", "regexp_matches(")
-    while "replace_all(" in out:
-        start = out.index("replace_all(")
-        at, depth, quoted = start + len("replace_all("), 1, False
-        while depth:
-            c = out[at]
-            quoted ^= c == "'"
-            depth += 0 if quoted else (c == "(") - (c == ")")
-            at += 1
-        out = out[:start] + "regexp_replace(" + out[start + len("replace_all(") : at - 1] + ", 'g')" + out[at:]
-    return out
+    out = re.sub(r"\br'", "'", expression)
+    for name, other in _DUCK.items():
+        out = re.sub(rf"(?<![A-Za-z_]){re.escape(name)}", other, out)
+    out = re.sub(r"\b([a-z]) -> ", r"lambda \1: ", out)
+    out = _calls(out, "replace_all", lambda x: f"regexp_replace({x}, 'g')")
+    out = _calls(out, "digest", lambda x: f"sha256({x})")
+    out = _calls(out, "iso_ms", lambda x: f"epoch_ms(TRY_CAST({x} AS TIMESTAMPTZ))")
+    return _calls(out, "units", lambda x: f"(length({x}) + length(regexp_replace({x}, '[^\\x{{10000}}-\\x{{10FFFF}}]', '', 'g')))")
 
 
 def query(source: str, steps: Sequence[Step], columns: Sequence[str]) -> str:

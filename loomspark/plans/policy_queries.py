@@ -279,22 +279,6 @@ def persistence(spark: SparkSession, d: str) -> DataFrame:
     return p.groupBy("cohort").agg(F.count_if("kept").alias("k"), F.count(F.lit(1)).alias("n"))
 
 
-def continuity_score(spark: SparkSession, d: str) -> DataFrame:
-    g = touches(spark, d).groupBy("session").agg(F.count_if(F.col("kind") == "read").alias("reads"), F.count_if(F.col("kind") == "mention").alias("claims"), F.count_if(F.col("kind") == "edit").alias("edits"), F.count_if(F.col("kind") == "error").alias("errors"))
-    kept = F.when(F.col("reads") > 0, F.col("edits") / (F.col("edits") + F.col("reads")))
-    sure = F.when(F.col("claims") > 0, F.least(F.lit(1.0), F.col("edits") / F.col("claims")))
-    calm = 1 - F.col("errors") / (F.col("reads") + F.col("claims") + F.col("edits") + F.col("errors"))
-    parts = F.array_compact(F.array(kept, sure, calm))
-    return g.select("session", F.round(F.aggregate(parts, F.lit(0.0), lambda a, x: a + x) / F.size(parts), 9).alias("score"), F.size(parts).alias("parts"))
-
-
-def trigger_classes(spark: SparkSession, d: str) -> DataFrame:
-    o = table(spark, d, "orders", "o_orderpriority", "o_orderstatus")
-    p = F.lower("o_orderpriority")
-    c = F.when(p.contains("urgent"), "interrupt").when(p.contains("high") | p.contains("medium"), "boundary").when(p.contains("not specified"), "unknown").otherwise("clean")
-    return o.groupBy(c.alias("trigger"), "o_orderstatus").agg(F.count(F.lit(1)).alias("n"))
-
-
 def path_suffix_match(spark: SparkSession, d: str) -> DataFrame:
     t = touches(spark, d)
     a = t.where("kind = 'edit'").select("session", F.concat(F.lit("repo/"), "path").alias("a")).distinct()
@@ -370,9 +354,6 @@ QUERIES = {
     "recovery_scan": (recovery_scan, f"{SCAN_SQL} SELECT * FROM scan"),
     "rate_block": (rate_block, f"{SCAN_SQL} SELECT session, count(*) FILTER (status = 'recovered') AS k, count(*) AS n, count(*) FILTER (status = 'recovered' AND distance = 1) AS immediate FROM scan GROUP BY session"),
     "persistence": (persistence, f"{T}, l AS (SELECT *, lag(kind) OVER w AS cohort, lag(path, 1) OVER w AS p1, lag(path, 2) OVER w AS p2, lag(path, 3) OVER w AS p3 FROM touches WINDOW w AS (PARTITION BY session ORDER BY pos)) SELECT cohort, count(*) FILTER (path = p1 OR path = p2 OR path = p3) AS k, count(*) AS n FROM l WHERE kind = 'edit' AND cohort IS NOT NULL GROUP BY cohort"),
-    "continuity_score": (continuity_score, f"""{T}, g AS (SELECT session, count(*) FILTER (kind = 'read') AS r, count(*) FILTER (kind = 'mention') AS c, count(*) FILTER (kind = 'edit') AS e, count(*) FILTER (kind = 'error') AS x, count(*) AS n FROM touches GROUP BY session),
-      p AS (SELECT session, list_filter([CASE WHEN r > 0 THEN e / (e + r) END, CASE WHEN c > 0 THEN least(1.0::DOUBLE, e / c) END, 1 - x / n], lambda v: v IS NOT NULL) AS p FROM g) SELECT session, round(list_sum(p) / len(p), 9) AS score, len(p)::INT AS parts FROM p"""),
-    "trigger_classes": (trigger_classes, "SELECT CASE WHEN contains(lower(o_orderpriority), 'urgent') THEN 'interrupt' WHEN contains(lower(o_orderpriority), 'high') OR contains(lower(o_orderpriority), 'medium') THEN 'boundary' WHEN contains(lower(o_orderpriority), 'not specified') THEN 'unknown' ELSE 'clean' END AS trigger, o_orderstatus, count(*) AS n FROM orders GROUP BY ALL"),
     "path_suffix_match": (path_suffix_match, f"{T}, a AS (SELECT DISTINCT session, 'repo/' || path AS a FROM touches WHERE kind = 'edit'), b AS (SELECT DISTINCT session, path AS b FROM touches WHERE kind = 'mention') SELECT session, count(*) AS n FROM a JOIN b USING (session) WHERE a = b OR ends_with(a, '/' || b) OR ends_with(b, '/' || a) GROUP BY session"),
     "cluster_interval": (cluster_interval, ""),
 }
