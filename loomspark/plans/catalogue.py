@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomspark.plans import policy_queries, recovery_queries, render_queries, rule_queries, seed_queries, session_queries, state_queries, text_queries
+from loomspark.plans import ledger_queries, policy_queries, recovery_queries, render_queries, rule_queries, seed_queries, session_queries, state_queries, text_queries
 
-_ALL = {**text_queries.QUERIES, **session_queries.QUERIES, **policy_queries.QUERIES, **state_queries.QUERIES, **render_queries.QUERIES, **seed_queries.QUERIES, **rule_queries.QUERIES, **recovery_queries.QUERIES}
+_ALL = {**text_queries.QUERIES, **session_queries.QUERIES, **policy_queries.QUERIES, **state_queries.QUERIES, **render_queries.QUERIES, **seed_queries.QUERIES, **rule_queries.QUERIES, **recovery_queries.QUERIES, **ledger_queries.QUERIES}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
