@@ -19,7 +19,8 @@ def round_half_up(x: Column) -> Column:
 
 
 def utilisation_level(used: Column, window: Column) -> Column:
-    share = used / window
+    """The level of a share of the window; healthy where there is no window."""
+    share = used / F.when(window > 0, window)
     return F.when(share >= AUTO_COMPACT, "auto_compact").when(share >= CRITICAL, "critical").when(share >= WARNING, "warning").otherwise("healthy")
 
 

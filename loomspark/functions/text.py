@@ -152,12 +152,16 @@ def clipped_sql(text: str, most: int) -> str:
 
 
 def fnv1a(text: Column) -> Column:
-    """32-bit FNV-1a over code points of a text, as a number."""
-    codes = F.transform(F.split(text, ""), lambda c: F.ascii(c).cast("long"))
-    return F.aggregate(F.filter(codes, lambda c: c > 0), F.lit(2166136261).cast("long"), lambda h, c: ((h.bitwiseXOR(c)) * F.lit(16777619)).bitwiseAND(F.lit(0xFFFFFFFF)))
+    """32-bit FNV-1a over the UTF-16 units of a text, as a number."""
+    units = F.transform(F.regexp_extract_all(F.hex(F.encode(text, "UTF-16BE")), F.lit("(.{4})"), F.lit(1)), lambda u: F.conv(u, 16, 10).cast("long"))
+    return F.aggregate(units, F.lit(2166136261).cast("long"), lambda h, u: ((h.bitwiseXOR(u)) * F.lit(16777619)).bitwiseAND(F.lit(0xFFFFFFFF)))
 
 
-FNV_SQL = "list_reduce(list_transform(list_filter(string_split({0}, ''), lambda c: c <> ''), lambda c: unicode(c)::BIGINT), lambda h, c: (xor(h, c) * 16777619) & 4294967295, 2166136261::BIGINT)"
+#: The same for DuckDB: a code point beyond the basic plane is two units.
+FNV_SQL = (
+    "list_reduce(flatten(list_transform(list_filter(string_split({0}, ''), lambda c: c <> ''), lambda c: CASE WHEN unicode(c) > 65535 THEN [55296 + ((unicode(c) - 65536) >> 10), 56320 + ((unicode(c) - 65536) & 1023)] "
+    "ELSE [unicode(c)] END)), lambda h, c: (xor(h, c::BIGINT) * 16777619) & 4294967295, 2166136261::BIGINT)"
+)
 
 
 def clock(ts: Column) -> Column:

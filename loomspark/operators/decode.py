@@ -14,8 +14,27 @@ from pyspark.sql import functions as F
 ACTING = ("Edit", "Write", "NotebookEdit")
 LOOKING = ("Read", "Grep", "Glob", "WebSearch", "WebFetch", "ToolSearch")
 COORDINATING = ("Agent",)
-#: Commands that change something, where a command can begin.
-MUTATING = r"(?:^|[\n;&|(){}`])\s*(?:(?:sudo|nohup|time|env)\s+)*(?:(?:rm|rmdir|mv|cp|mkdir|touch|ln|tee|patch|chmod|chown|kill|pkill|systemctl|make|rsync|scp)\b|sed\s+-i|git\s+(?:commit|push|add|reset|checkout|merge|rebase|stash|clone|pull)\b|(?:npm|pnpm|yarn|pip)\s+(?:install|add|remove|uninstall|ci)\b)"
+# Commands that change something, by family.
+MUTATING_VERBS = (
+    r"(?:rm|rmdir|unlink|mv|cp|mkdir|touch|ln|truncate|dd|shred|tee|patch)\b",
+    r"(?:chmod|chown|chgrp|setfacl)\b",
+    r"(?:kill|pkill|killall|pm2|systemctl|service|launchctl|supervisorctl)\b",
+    r"(?:sed|perl|ruby)\s+(?:-[\w-]+\s+)*-[\w]*i",
+    r"(?:(?:ba|z)?sh\s+-c|(?:node|tsx|python3?|perl|ruby|deno|bun)\s+-(?:e|c))\b",
+    r"git\s+(?:commit|push|add|rm|mv|reset|checkout|switch|restore|merge|rebase|stash|cherry-pick|revert|tag|branch|clean|apply|am|init|clone|remote|fetch|pull|submodule|worktree|gc|prune|filter-branch)\b",
+    r"(?:npm|pnpm|yarn|bun)\s+(?:install|ci|add|remove|rm|uninstall|update|upgrade|link|unlink|publish|prune|dedupe|i|run\s+build)\b",
+    r"(?:pip|pip3|uv|poetry|pipenv)\s+(?:install|uninstall|add|remove|sync|lock)\b",
+    r"(?:apt|apt-get|dnf|yum|zypper|pacman|apk|brew|port)\s+(?:install|remove|purge|upgrade|update|autoremove)\b",
+    r"(?:make|ninja|gradle|gradlew|mvn|bazel|cmake)\b",
+    r"cargo\s+(?:build|install|publish|clean|add|remove|update|fix)\b",
+    r"go\s+(?:build|install|get|mod|generate|clean)\b",
+    r"(?:docker|podman|nerdctl)\s+(?:run|build|rm|rmi|push|pull|create|start|stop|kill|restart|exec|compose|tag|commit|volume|network|system|prune)\b",
+    r"kubectl\s+(?:apply|create|delete|patch|replace|scale|rollout|edit|annotate|label|cordon|drain|taint)\b",
+    r"rclone\s+(?:copy|copyto|move|moveto|sync|delete|purge|mkdir|rmdir|deletefile|touch)\b",
+    r"(?:rsync|scp|sftp)\b",
+)
+#: Such a command where a command can begin.
+MUTATING = r"(?:^|[\n;&|(){}`]|-exec\b|-execdir\b)\s*(?:(?:sudo|nohup|time|command|xargs|env)\s+|\w+=\S*\s+)*(?:" + "|".join(MUTATING_VERBS) + ")"
 REDIRECT = r"(?:^|[^0-9>=<-])>>?\s*(?!&|/dev/null\b)[^\s;&|<>()]"
 
 _BLOCK = "array<struct<type:string,id:string,name:string,input:string,tool_use_id:string,content:string,is_error:boolean,text:string>>"

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: A burst ends after so many events, or milliseconds, without a touch.
-GAP_EVENTS, GAP_MS, MEMBERS = 25, 86_400_000, 16
+GAP_EVENTS, GAP_MS, MEMBERS = 25, 1_200_000, 16
 #: How strong a kind of touch is.
 STRENGTH = (("edit", 3), ("read", 2), ("mention", 1))
 

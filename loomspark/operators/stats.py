@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -64,15 +68,20 @@ def nearest(left: DataFrame, right: DataFrame, key: str, time: str, tolerance: i
 def cluster_bootstrap(rows: DataFrame, cluster: str, success: Column, resamples: int, seed: int) -> DataFrame:
     """Rate with its 2.5 % and 97.5 % points over resampled clusters.
 
-    A cluster's multiplicity in a resample is a Poisson draw from a hash of seed, cluster and resample,
-    so resamples need no shared order and every rerun agrees.
+    A cluster's multiplicity in a resample is a Poisson draw. Clusters of equal counts draw together: m
+    of them draw Poisson(m), so the work is that of distinct counts, not of clusters. Draws come from the
+    seed and the counts alone: resamples need no shared order and every rerun agrees.
     """
     counts = rows.groupBy(cluster).agg(F.count_if(success).alias("k"), F.count(F.lit(1)).alias("n"))
-    drawn = counts.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(resamples))))
-    u = F.pmod(F.xxhash64(F.lit(seed), F.col(cluster), F.col("b")), F.lit(1 << 40)) / float(1 << 40)
-    below = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183]
-    times = sum((F.when(u >= p, 1).otherwise(0) for p in below[1:]), F.when(u >= below[0], 1).otherwise(0))
-    rates = drawn.withColumn("m", times).groupBy("b").agg((F.sum(F.col("m") * F.col("k")) / F.sum(F.col("m") * F.col("n"))).alias("rate"))
+    cells = counts.groupBy("k", "n").agg(F.count(F.lit(1)).alias("m"))
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cell = [np.asarray(batch.column(c)) for c in ("k", "n", "m")]
+            times = np.array([np.random.Generator(np.random.Philox(key=[seed, (int(k) << 32) ^ int(n)])).poisson(int(m), resamples) for k, n, m in zip(*cell, strict=True)], np.int64).reshape(-1, resamples)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(resamples)), pa.array((times * cell[0][:, None]).sum(0)), pa.array((times * cell[1][:, None]).sum(0))], names=["b", "hits", "all"])
+
+    rates = cells.mapInArrow(draw, "b long, hits long, all long").groupBy("b").agg((F.sum("hits") / F.sum("all")).alias("rate"))
     whole = counts.agg((F.sum("k") / F.sum("n")).alias("rate"))
     points = rates.agg(F.percentile("rate", F.lit(0.025)).alias("lo"), F.percentile("rate", F.lit(0.975)).alias("hi"), F.count("rate").alias("resamples"))
     return points.select(whole.scalar().alias("rate"), "lo", "hi", "resamples")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from loomspark.functions import policy as po
 from loomspark.operators import budgets, retrieve, segment, stats
 from loomspark.plans.session_queries import BURST_SQL
-from loomspark.sources.bindings import TOUCHES_SQL, messages, table, touches
+from loomspark.sources.bindings import TOUCHES_SQL, day_bursts, messages, table, touches
 
 ROUND_UP = "floor({0} + 0.5)"
 
@@ -49,14 +49,14 @@ RETENTION_SQL = """WITH RECURSIVE m AS (SELECT conv_id, row_number() OVER (PARTI
 
 
 def intra_turn_keep(spark: SparkSession, d: str) -> DataFrame:
-    b = segment.bursts(touches(spark, d))
+    b = day_bursts(touches(spark, d))
     order = W.partitionBy("session", "burst").orderBy(F.desc("pos"))
     kept = (F.row_number().over(order) <= 5) | (F.col("kind") == "error") | (F.col("value") < 5)
     return b.withColumn("kept", kept).groupBy("session", "burst").agg(F.count_if("kept").alias("kept"), F.count_if(~F.col("kept")).alias("folded"), F.round(F.sum(F.when(F.col("kept"), 0.0).otherwise(F.col("value"))), 6).alias("saved"))
 
 
 def eviction_spans(spark: SparkSession, d: str) -> DataFrame:
-    b = segment.bursts(touches(spark, d)).groupBy("session", "burst").agg(F.min("pos").alias("start"), (F.max("pos") + 1).alias("stop"), F.count(F.lit(1)).alias("n"))
+    b = day_bursts(touches(spark, d)).groupBy("session", "burst").agg(F.min("pos").alias("start"), (F.max("pos") + 1).alias("stop"), F.count(F.lit(1)).alias("n"))
     order = W.partitionBy("session").orderBy(F.desc("burst"))
     slot = F.least(F.row_number().over(order), F.lit(6))
     return b.withColumn("slot", slot).groupBy("session", "slot").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("merged"))
@@ -141,7 +141,7 @@ def prefix_longest_match(spark: SparkSession, d: str) -> DataFrame:
 
 
 def tiered_recall(spark: SparkSession, d: str) -> DataFrame:
-    b = segment.bursts(touches(spark, d))
+    b = day_bursts(touches(spark, d))
     entries = b.groupBy("session", "burst").agg(F.collect_set("path").alias("paths"), F.max("pos").alias("recency"), F.count_if(F.col("kind") == "error").alias("errors"), F.max(F.when(F.col("kind") == "mention", F.col("path"))).alias("claim"))
     asked = touches(spark, d).groupBy("session").agg(F.max_by("path", "pos").alias("now"))
     tier = F.when(F.array_contains("paths", F.col("now")), 0).when(F.substring_index("claim", ".", 1).endswith("1"), 1).when(F.col("errors") >= 2, 2)
@@ -159,18 +159,20 @@ def recall_utility(spark: SparkSession, d: str) -> DataFrame:
 
 
 def explicit_range_recall(spark: SparkSession, d: str) -> DataFrame:
-    b = segment.bursts(touches(spark, d)).groupBy("session", "burst").agg(F.min("pos").alias("start"), F.max("pos").alias("stop"))
-    asked = touches(spark, d).where("pos % 20 = 10").select("session", F.col("pos").alias("lo"), (F.col("pos") + 4).alias("hi"))
-    return asked.join(b, "session").where("start <= hi and stop >= lo").groupBy("session", "lo").agg(F.count(F.lit(1)).alias("n"), F.min("burst").alias("first_burst"))
+    b = day_bursts(touches(spark, d)).groupBy("session", "burst").agg(F.min("pos").alias("start"), F.max("pos").alias("stop"))
+    asked = touches(spark, d).select("session", F.col("pos").alias("lo"), (F.col("pos") + 4).alias("hi"))
+    # ranges and bursts meet in stretches of 32 places, each pair in the first one that they share
+    cell = lambda a, z: F.explode(F.sequence(F.floor(F.col(a) / 32), F.floor(F.col(z) / 32)))
+    met = asked.withColumn("cell", cell("lo", "hi")).join(b.withColumn("cell", cell("start", "stop")), ["session", "cell"])
+    met = met.where("start <= hi and stop >= lo and cell = greatest(floor(lo / 32), floor(start / 32))")
+    return met.groupBy("session", "lo").agg(F.count(F.lit(1)).alias("n"), F.min("burst").alias("first_burst"))
 
 
 def watch_outcomes(spark: SparkSession, d: str) -> DataFrame:
     t = touches(spark, d)
-    cards = t.where("kind = 'mention'").select("session", F.col("pos").alias("at"), "event_id")
-    after = t.select("session", "pos", "kind")
-    met = cards.join(after, "session").where("pos between at + 1 and at + 6")
-    first = lambda k: F.min(F.when(F.col("kind") == k, F.col("pos") - F.col("at")))
-    g = met.groupBy("session", "at", "event_id").agg(first("edit").alias("edit"), first("read").alias("read"), F.count(F.lit(1)).alias("n"))
+    ahead = W.partitionBy("session").orderBy("pos").rowsBetween(1, 6)
+    first = lambda k: F.min(F.when(F.col("kind") == k, F.col("pos"))).over(ahead) - F.col("pos")
+    g = t.select("event_id", "kind", first("edit").alias("edit"), first("read").alias("read"), F.count(F.lit(1)).over(ahead).alias("n")).where("kind = 'mention' and n > 0")
     return g.select("event_id", F.when(F.col("edit").isNotNull(), "edited").when(F.col("read").isNotNull(), "echoed").when(F.col("n") < 6, "watching").otherwise("expired").alias("outcome"), F.coalesce("edit", "read").alias("distance"))
 
 
@@ -191,7 +193,7 @@ def newest_per_target(spark: SparkSession, d: str) -> DataFrame:
 
 
 def band_audit(spark: SparkSession, d: str) -> DataFrame:
-    b = segment.bursts(touches(spark, d)).groupBy("session", "burst").agg((F.min("pos") + F.when(F.col("burst") % 5 == 0, 1).when(F.col("burst") % 7 == 0, -1).otherwise(0)).alias("start"), (F.max("pos") + 1).alias("stop"))
+    b = day_bursts(touches(spark, d)).groupBy("session", "burst").agg((F.min("pos") + F.when(F.col("burst") % 5 == 0, 1).when(F.col("burst") % 7 == 0, -1).otherwise(0)).alias("start"), (F.max("pos") + 1).alias("stop"))
     w = W.partitionBy("session").orderBy("burst")
     p = b.withColumn("expected", F.lag("stop").over(w))
     issues = F.array_compact(F.array(F.when(F.col("start") > F.col("expected"), "gap"), F.when(F.col("start") < F.col("expected"), "overlap"), F.when(F.col("stop") <= F.col("start"), "empty")))
@@ -289,7 +291,7 @@ def path_suffix_match(spark: SparkSession, d: str) -> DataFrame:
 
 
 def cluster_interval(spark: SparkSession, d: str) -> DataFrame:
-    return stats.cluster_bootstrap(table(spark, d, "orders", "o_custkey", "o_orderstatus"), "o_custkey", F.col("o_orderstatus") == "F", 200, 20260608)
+    return stats.cluster_bootstrap(table(spark, d, "orders", "o_custkey", "o_orderstatus"), "o_custkey", F.col("o_orderstatus") == "F", 5000, 20260608)
 
 
 T = f"WITH {TOUCHES_SQL}"
@@ -330,7 +332,7 @@ QUERIES = {
       p AS (SELECT e.*, CASE WHEN list_contains(paths, now) THEN 0 WHEN split_part(claim, '.', 1) LIKE '%1' THEN 1 WHEN errors >= 2 THEN 2 END AS tier FROM e JOIN a USING (session)),
       r AS (SELECT session, burst, tier, row_number() OVER (PARTITION BY session ORDER BY tier, recency DESC, burst) AS rank FROM p WHERE tier IS NOT NULL) SELECT *, CASE WHEN rank <= 3 THEN 'card' ELSE 'hint' END AS render FROM r"""),
     "recall_utility": (recall_utility, f"{T}, l AS (SELECT DISTINCT session, path, kind FROM touches WHERE kind IN ('edit', 'read')), g AS (SELECT path, count(*) FILTER (kind = 'edit') AS edits, count(*) AS uses, round(avg(CASE WHEN kind = 'edit' THEN 1.0 ELSE 0.5 END), 9) AS utility FROM l GROUP BY path) SELECT *, row_number() OVER (ORDER BY utility DESC, uses DESC, edits DESC, path) AS rank FROM g"),
-    "explicit_range_recall": (explicit_range_recall, f"{B}, e AS (SELECT session, burst, min(pos) AS start, max(pos) AS stop FROM bursts GROUP BY ALL) SELECT t.session, t.pos AS lo, count(*) AS n, min(burst) AS first_burst FROM touches t JOIN e ON e.session = t.session AND start <= t.pos + 4 AND stop >= t.pos WHERE t.pos % 20 = 10 GROUP BY ALL"),
+    "explicit_range_recall": (explicit_range_recall, f"{B}, e AS (SELECT session, burst, min(pos) AS start, max(pos) AS stop FROM bursts GROUP BY ALL) SELECT t.session, t.pos AS lo, count(*) AS n, min(burst) AS first_burst FROM touches t JOIN e ON e.session = t.session AND start <= t.pos + 4 AND stop >= t.pos GROUP BY ALL"),
     "watch_outcomes": (watch_outcomes, f"""{T}, g AS (SELECT c.event_id, min(t.pos - c.pos) FILTER (t.kind = 'edit') AS e, min(t.pos - c.pos) FILTER (t.kind = 'read') AS r, count(*) AS n FROM touches c JOIN touches t ON t.session = c.session AND t.pos BETWEEN c.pos + 1 AND c.pos + 6 WHERE c.kind = 'mention' GROUP BY c.event_id)
       SELECT event_id, CASE WHEN e IS NOT NULL THEN 'edited' WHEN r IS NOT NULL THEN 'echoed' WHEN n < 6 THEN 'watching' ELSE 'expired' END AS outcome, coalesce(e, r) AS distance FROM g"""),
     "lane_aggregates": (lane_aggregates, f"""{T}, l AS (SELECT *, CASE WHEN kind IN ('read', 'mention') THEN 'look' ELSE 'act' END AS lane FROM touches), b AS (SELECT *, lag(lane) OVER (PARTITION BY session ORDER BY pos) AS p FROM l),

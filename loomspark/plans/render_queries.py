@@ -10,13 +10,13 @@ from loomspark.functions import render
 from loomspark.operators import episodes as ep
 from loomspark.operators import segment
 from loomspark.plans.session_queries import BURST_SQL, EPISODE_SQL
-from loomspark.sources.bindings import TOUCHES_SQL, messages, touches
+from loomspark.sources.bindings import TOUCHES_SQL, day_bursts, day_episodes, messages, touches
 
 CLOCK_SQL = "'[' || strftime(make_timestamp(first_ms * 1000), '%-I:%M %p') || ']'"
 
 
 def tombstone_lines(spark: SparkSession, d: str) -> DataFrame:
-    b = segment.bursts(touches(spark, d)).groupBy("session", "burst").agg(F.min("ts").alias("a"), F.max("ts").alias("b"), F.count(F.lit(1)).alias("n"))
+    b = day_bursts(touches(spark, d)).groupBy("session", "burst").agg(F.min("ts").alias("a"), F.max("ts").alias("b"), F.count(F.lit(1)).alias("n"))
     iso = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
     return b.select("session", "burst", render.tombstone(iso("a"), iso("b"), F.col("n")).alias("line"), render.episode_date(iso("a")).alias("date"), render.epoch_stamp(F.col("burst"), F.lit("sealed")).alias("stamp"))
 
@@ -31,7 +31,7 @@ def lane_lines(spark: SparkSession, d: str) -> DataFrame:
 
 
 def episode_cards(spark: SparkSession, d: str) -> DataFrame:
-    episodes, found = ep.capture(touches(spark, d))
+    episodes, found = day_episodes(touches(spark, d))
     paths = found.groupBy("id").agg(F.array_sort(F.collect_set("path")).alias("paths"))
     card = render.episode_card(F.col("id"), F.when(F.col("edits") > 0, "verdict").otherwise("window_end"), F.col("ended").cast("string"), F.concat(F.col("touches").cast("string"), F.lit(" touches")), F.slice("paths", 1, 3))
     return episodes.join(paths, "id").select("id", card.alias("card"), F.length(card).cast("long").alias("chars"))
@@ -49,7 +49,7 @@ def usage_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 def claim_escapes(spark: SparkSession, d: str) -> DataFrame:
-    marked = F.concat(F.left("text", F.lit(40)), F.lit("\\ [ Origin = x] [other]"))
+    marked = F.concat(F.col("text"), F.lit("\\ [ Origin = x] [other]"))
     m = messages(spark, d).withColumn("marked", F.when(F.col("turn") % 2 == 0, marked).otherwise(F.col("text")))
     return m.select("conv_id", "turn", render.escaped_claim(F.col("marked")).alias("escaped"), (render.unescaped_claim(render.escaped_claim(F.col("marked"))) == F.col("marked")).alias("same"))
 
@@ -66,5 +66,5 @@ QUERIES = {
       c AS (SELECT e.id, '[Recalled episode ' || e.id || ' — ' || CASE WHEN edits > 0 THEN 'verdict' ELSE 'window_end' END || ', ' || ended || ']' || chr(10) || 'Summary: ' || touches || ' touches' || chr(10) || 'Matched paths: ' || array_to_string(paths[1:3], ', ') AS card FROM episodes e JOIN p USING (id)) SELECT id, card, len(card) AS chars FROM c"""),
     "payload_records": (payload_records, "SELECT conv_id, turn, 'fold-turn' AS kind, true AS same, sha256(text) AS text_sha256 FROM conversations"),
     "usage_ids": (usage_ids, f"WITH {TOUCHES_SQL} SELECT event_id, 'fru:' || pos || ':' || event_id || ':' || url_encode(chr(0) || kind || chr(0) || path) AS id FROM touches WHERE kind = 'mention'"),
-    "claim_escapes": (claim_escapes, r"SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN left(text, 40) || '\\ \u005b Origin = x] [other]' ELSE text END AS escaped, true AS same FROM conversations"),
+    "claim_escapes": (claim_escapes, r"SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN replace(text, '\', '\\') || '\\ \u005b Origin = x] [other]' ELSE text END AS escaped, true AS same FROM conversations"),
 }

@@ -8,21 +8,22 @@ from pyspark.sql import functions as F
 
 from loomspark.operators import episodes as ep
 from loomspark.operators import segment
-from loomspark.sources.bindings import TOUCHES_SQL, messages, touches
+from loomspark.sources.bindings import TABLE_GAP_MS, TOUCHES_SQL, day_bursts, day_episodes, messages, touches
 
 ASKED = ["src/mod7.ts", "src/mod21.ts", "src/mod42.ts", "src/mod63.ts"]
 
 BURST_SQL = f"""{TOUCHES_SQL},
 marked AS (SELECT *, lag(ms) OVER w AS before_ms, lag(pos) OVER w AS before_pos FROM touches WINDOW w AS (PARTITION BY session ORDER BY pos)),
-bursts AS (SELECT *, sum(CASE WHEN before_ms IS NULL OR ms - before_ms > {segment.GAP_MS} OR pos - before_pos > {segment.GAP_EVENTS} THEN 1 ELSE 0 END)
+bursts AS (SELECT *, sum(CASE WHEN before_ms IS NULL OR ms - before_ms > {TABLE_GAP_MS} OR pos - before_pos > {segment.GAP_EVENTS} THEN 1 ELSE 0 END)
   OVER (PARTITION BY session ORDER BY pos ROWS UNBOUNDED PRECEDING)::BIGINT AS burst FROM marked)"""
 STRENGTH_SQL = "CASE kind WHEN 'edit' THEN 3 WHEN 'read' THEN 2 WHEN 'mention' THEN 1 ELSE 0 END"
 MEMBER_SQL = f"""{BURST_SQL},
 grouped AS (SELECT session, burst, path, max({STRENGTH_SQL}) AS strength, count(*) AS n, min(pos) AS first_pos, max(pos) AS last_pos FROM bursts GROUP BY ALL),
 members AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY session, burst ORDER BY strength DESC, n DESC, first_pos) AS rank FROM grouped) WHERE rank <= {segment.MEMBERS})"""
 EPISODE_SQL = f"""{MEMBER_SQL},
-ids AS (SELECT *, 'episode-' || left(sha256(session::VARCHAR || '|' || burst::VARCHAR), 16) AS id FROM bursts),
-episodes AS (SELECT id, session, burst, min(ms) AS started, max(ms) AS ended, count(*) AS touches, count(*) FILTER (kind = 'edit') AS edits FROM ids GROUP BY ALL),
+listed AS (SELECT session, burst, '[' || string_agg('{{"path":"' || path || '","ordinal":' || rank || '}}', ',' ORDER BY rank) || ']' AS j FROM members GROUP BY ALL),
+told AS (SELECT session, burst, min(ms) AS started, max(ms) AS ended, count(*) AS touches, count(*) FILTER (kind = 'edit') AS edits FROM bursts GROUP BY ALL),
+episodes AS (SELECT 'episode-' || left(sha256(session::VARCHAR || chr(0) || started::VARCHAR || chr(0) || ended::VARCHAR || chr(0) || touches::VARCHAR || ' touches' || chr(0) || j), 16) AS id, session, burst, started, ended, touches, edits FROM told JOIN listed USING (session, burst)),
 found AS (SELECT e.id, m.path, m.strength, m.n FROM members m JOIN episodes e USING (session, burst))"""
 
 
@@ -39,12 +40,12 @@ def step_segmentation(spark: SparkSession, d: str) -> DataFrame:
 
 
 def burst_gap_islands(spark: SparkSession, d: str) -> DataFrame:
-    b = segment.bursts(touches(spark, d))
+    b = day_bursts(touches(spark, d))
     return b.groupBy("session", "burst").agg(F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"), F.min("ms").alias("started"), F.max("ms").alias("ended"), F.count(F.lit(1)).alias("n"))
 
 
 def burst_members(spark: SparkSession, d: str) -> DataFrame:
-    return segment.members(segment.bursts(touches(spark, d)))
+    return segment.members(day_bursts(touches(spark, d)))
 
 
 def run_length_collapse(spark: SparkSession, d: str) -> DataFrame:
@@ -53,7 +54,7 @@ def run_length_collapse(spark: SparkSession, d: str) -> DataFrame:
 
 
 def annotation_asof_burst(spark: SparkSession, d: str) -> DataFrame:
-    b = segment.bursts(touches(spark, d).where("kind <> 'error'")).groupBy("session", "burst").agg(F.min("pos").alias("pos"))
+    b = day_bursts(touches(spark, d).where("kind <> 'error'")).groupBy("session", "burst").agg(F.min("pos").alias("pos"))
     notes = touches(spark, d).where("kind = 'error'").select("session", "pos", "event_id")
     both = b.select("session", "pos", "burst", F.lit(None).cast("long").alias("event_id"), F.lit(0).alias("tag")).unionByName(notes.select("session", "pos", F.lit(None).cast("long").alias("burst"), "event_id", F.lit(1).alias("tag")))
     w = W.partitionBy("session").orderBy("pos", "tag").rowsBetween(W.unboundedPreceding, 0)
@@ -68,7 +69,7 @@ def intent_asof(spark: SparkSession, d: str) -> DataFrame:
 
 
 def open_burst(spark: SparkSession, d: str) -> DataFrame:
-    b = segment.bursts(touches(spark, d)).withColumn("latest", F.max("burst").over(W.partitionBy("session"))).where("burst = latest")
+    b = day_bursts(touches(spark, d)).withColumn("latest", F.max("burst").over(W.partitionBy("session"))).where("burst = latest")
     return b.groupBy("session").agg(F.max("burst").alias("bursts"), F.min("pos").alias("start"), F.array_join(F.array_sort(F.collect_set("path")), ",").alias("held"))
 
 
@@ -105,27 +106,27 @@ def value_floor_paths(spark: SparkSession, d: str) -> DataFrame:
 
 
 def episode_capture(spark: SparkSession, d: str) -> DataFrame:
-    return ep.capture(touches(spark, d))[0]
+    return day_episodes(touches(spark, d))[0]
 
 
 def episode_path_recall(spark: SparkSession, d: str) -> DataFrame:
-    episodes, found = ep.capture(touches(spark, d))
+    episodes, found = day_episodes(touches(spark, d))
     gone = episodes.where("edits = 0").select("id")
     return ep.recall(episodes, found, gone, ASKED, 6000).select("id", "session", "ended", "matched", "score", "rank")
 
 
 def chain_score_topk(spark: SparkSession, d: str) -> DataFrame:
     t = touches(spark, d)
-    episodes, found = ep.capture(t)
+    episodes, found = day_episodes(t)
     order = W.partitionBy("session").orderBy(F.desc("pos"))
     asked = t.withColumn("n", F.row_number().over(order)).where("n <= 5").select(F.col("session").alias("query"), "session", "path").distinct()
     return ep.recall_each(episodes, found, asked, 3)
 
 
 def episode_append(spark: SparkSession, d: str) -> DataFrame:
-    episodes, _ = ep.capture(touches(spark, d))
+    episodes, _ = day_episodes(touches(spark, d))
     store = episodes.where("burst % 2 = 0")
-    fresh = ep.append_new(store, episodes.where("burst % 3 = 0"), "id")
+    fresh = ep.append_new(store, episodes, "id")
     return fresh.groupBy("session").agg(F.count(F.lit(1)).alias("inserted"), F.sum("touches").alias("touches"))
 
 
@@ -134,7 +135,7 @@ def supersession_upsert(spark: SparkSession, d: str) -> DataFrame:
     w = W.partitionBy("session", "path").orderBy("pos")
     edges = t.select(F.col("event_id").alias("old_id"), F.lead("event_id").over(w).alias("new_id"), "ms").where("new_id is not null")
     store = edges.where("old_id % 2 = 0").select("old_id", "new_id", F.when(F.col("old_id") % 4 == 0, F.col("ms")).alias("source_at"))
-    batch = edges.where("old_id % 3 = 0").select("old_id", "new_id", (F.col("ms") + 1).alias("source_at"))
+    batch = edges.select("old_id", "new_id", (F.col("ms") + 1).alias("source_at"))
     return ep.fill_source(store, batch)
 
 
@@ -152,7 +153,7 @@ def superseded_anti_join(spark: SparkSession, d: str) -> DataFrame:
 
 
 def served_dedupe(spark: SparkSession, d: str) -> DataFrame:
-    episodes, found = ep.capture(touches(spark, d))
+    episodes, found = day_episodes(touches(spark, d))
     served = ep.recall(episodes, found, episodes.where("edits = 0").select("id"), ASKED[:2], 600).select("id")
     again = ep.recall(episodes, found, episodes.where("edits = 0").select("id").union(served), ASKED, 6000)
     return again.select("id", "matched", "score", "rank")
@@ -160,7 +161,7 @@ def served_dedupe(spark: SparkSession, d: str) -> DataFrame:
 
 RECALL_SQL = """hits AS (SELECT id, array_to_string(list_sort(list(DISTINCT path)), ',') AS matched, count(DISTINCT path) / {n}.0 AS score FROM found WHERE path IN ({paths}) AND id NOT IN ({gone}) GROUP BY id),
 cards AS (SELECT h.id, session, ended, matched, score, len(matched) + 40 AS chars FROM hits h JOIN episodes USING (id)),
-ranked AS (SELECT *, row_number() OVER w AS rank, sum(chars) OVER (ORDER BY score DESC, ended DESC, id DESC ROWS UNBOUNDED PRECEDING) AS used FROM cards WINDOW w AS (ORDER BY score DESC, ended DESC, id DESC))"""
+ranked AS (SELECT *, row_number() OVER w AS rank, sum(chars) OVER (ORDER BY ended DESC NULLS LAST, id DESC ROWS UNBOUNDED PRECEDING) AS used FROM cards WINDOW w AS (ORDER BY ended DESC NULLS LAST, id DESC))"""
 
 
 def _recall(n: int, gone: str) -> str:
@@ -197,9 +198,9 @@ QUERIES = {
       wanted AS (SELECT query, count(DISTINCT path) AS asked FROM asked GROUP BY query),
       hits AS (SELECT a.query, f.id, e.ended, count(DISTINCT a.path) AS matched FROM asked a JOIN episodes e USING (session) JOIN found f ON f.id = e.id AND f.path = a.path GROUP BY ALL)
       SELECT query, rank, id, matched, score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, ended DESC, id DESC) AS rank FROM (SELECT h.*, matched / asked AS score FROM hits h JOIN wanted USING (query))) WHERE rank <= 3"""),
-    "episode_append": (episode_append, f"WITH {EPISODE_SQL} SELECT session, count(*) AS inserted, sum(touches)::BIGINT AS touches FROM episodes WHERE burst % 3 = 0 AND id NOT IN (SELECT id FROM episodes WHERE burst % 2 = 0) GROUP BY session"),
+    "episode_append": (episode_append, f"WITH {EPISODE_SQL} SELECT session, count(*) AS inserted, sum(touches)::BIGINT AS touches FROM episodes WHERE id NOT IN (SELECT id FROM episodes WHERE burst % 2 = 0) GROUP BY session"),
     "supersession_upsert": (supersession_upsert, f"""WITH {TOUCHES_SQL}, edges AS (SELECT event_id AS old_id, lead(event_id) OVER (PARTITION BY session, path ORDER BY pos) AS new_id, ms FROM touches WHERE kind = 'edit')
-      SELECT old_id, new_id, CASE WHEN old_id % 4 = 0 THEN ms WHEN old_id % 3 = 0 THEN ms + 1 END AS source_at FROM edges WHERE new_id IS NOT NULL AND (old_id % 2 = 0 OR old_id % 3 = 0)"""),
+      SELECT old_id, new_id, CASE WHEN old_id % 4 = 0 THEN ms ELSE ms + 1 END AS source_at FROM edges WHERE new_id IS NOT NULL"""),
     "supersession_closure": (supersession_closure, f"""WITH RECURSIVE {TOUCHES_SQL}, edges AS (SELECT event_id AS source, lead(event_id) OVER (PARTITION BY session, path ORDER BY pos) AS target FROM touches WHERE kind = 'edit'),
       walk AS (SELECT source, target FROM edges WHERE target IS NOT NULL UNION ALL SELECT w.source, e.target FROM walk w JOIN edges e ON e.source = w.target WHERE e.target IS NOT NULL)
       SELECT source, target AS terminal FROM walk WHERE target NOT IN (SELECT source FROM edges WHERE target IS NOT NULL)"""),

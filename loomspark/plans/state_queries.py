@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomspark.operators import decode, fold, rails
@@ -30,7 +31,7 @@ def _touches(spark: SparkSession, d: str) -> DataFrame:
 
 def tool_call_pairs(spark: SparkSession, d: str) -> DataFrame:
     c = decode.tool_calls(decode.decode(raw_messages(spark, d)))
-    return c.select("session", "pos", "name", F.least(F.length("result"), F.lit(300)).cast("long").alias("result_chars"))
+    return c.select("session", "pos", "name", F.length("result").cast("long").alias("result_chars"))
 
 
 def turn_categories(spark: SparkSession, d: str) -> DataFrame:
@@ -61,10 +62,12 @@ def watch_replay(spark: SparkSession, d: str) -> DataFrame:
 
 
 def rail_replay(spark: SparkSession, d: str) -> DataFrame:
-    line = table(spark, d, "lineitem", "l_orderkey", "l_partkey", "l_suppkey", "l_returnflag").dropDuplicates(["l_orderkey", "l_partkey", "l_suppkey"])
+    line = table(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag")
+    again = W.partitionBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").orderBy("l_returnflag")
+    line = line.withColumn("copy", F.row_number().over(again))
     none = F.lit(None).cast("string")
     event = lambda pos, op, step, status: F.struct(F.lit(pos).alias("at"), F.lit(op).alias("op"), step.alias("step"), status.alias("status"))
-    step = F.concat_ws("-", F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string"))
+    step = F.concat_ws("-", *(F.col(c).cast("string") for c in ("l_linenumber", "l_partkey", "l_suppkey", "copy")))
     ack = F.when(F.col("l_returnflag") == "R", "blocked").when(F.col("l_returnflag") == "A", "done").otherwise("skipped")
     rows = line.select("l_orderkey", F.explode(F.array(event(1, "append", step, none), event(4, "ack", step, ack))).alias("e"))
     rows = rows.unionByName(line.select("l_orderkey").distinct().select("l_orderkey", F.explode(F.array(event(0, "create", none, none), event(2, "lock", none, none), event(3, "sprint", none, none))).alias("e")))
@@ -85,7 +88,7 @@ z AS (SELECT *, sum((before IS NULL OR pos - before > {folds.ZONE_TTL})::INT) OV
 SELECT session, path, min(pos) AS opened, max(pos) + {folds.ZONE_TTL} AS closed, count(*) AS touches FROM z GROUP BY session, path, zone"""
 
 QUERIES = {
-    "tool_call_pairs": (tool_call_pairs, "SELECT conv_id::VARCHAR AS session, turn * 3 + 1 AS pos, CASE WHEN turn % 3 = 0 THEN 'Edit' ELSE 'Read' END AS name, least(len(text), 300) AS result_chars FROM conversations WHERE role = 'assistant' AND turn % 2 = 1 AND turn > (SELECT min(c.turn) FROM conversations c WHERE c.conv_id = conversations.conv_id AND c.role = 'user')"),
+    "tool_call_pairs": (tool_call_pairs, "SELECT conv_id::VARCHAR AS session, turn * 3 + 1 AS pos, CASE WHEN turn % 3 = 0 THEN 'Edit' ELSE 'Read' END AS name, len(text) AS result_chars FROM conversations WHERE role = 'assistant' AND turn % 2 = 1 AND turn > (SELECT min(c.turn) FROM conversations c WHERE c.conv_id = conversations.conv_id AND c.role = 'user')"),
     "turn_categories": (turn_categories, ""),
     "folded_view": (folded_view, ""),
     "burst_replay": (burst_replay, ""),

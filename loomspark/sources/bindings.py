@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from loomspark.operators import episodes, segment
+
 #: Event types as kinds of touch.
 KINDS = (("purchase", "edit"), ("view", "read"), ("click", "read"), ("signup", "mention"), ("error", "error"))
 
@@ -35,6 +37,20 @@ def touches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("user_id").alias("session"), (F.row_number().over(order) - 1).alias("pos"), "event_id", "ts", ms.alias("ms"), path.alias("path"), kind.alias("kind"), "value")
 
 
+#: Touches of the fixed tables are hours apart, so their bursts end after a day, not after the twenty minutes of a live session.
+TABLE_GAP_MS = 86_400_000
+
+
+def day_bursts(rows: DataFrame) -> DataFrame:
+    """Bursts of touches of the fixed tables."""
+    return segment.bursts(rows, TABLE_GAP_MS)
+
+
+def day_episodes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Episodes and members of touches of the fixed tables."""
+    return episodes.capture(rows, TABLE_GAP_MS)
+
+
 TOUCHES_SQL = """touches AS (
   SELECT user_id AS session, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1)::INTEGER AS pos, event_id, ts,
          epoch_us(ts) // 1000 AS ms, 'src/mod' || (props->>'$.k') || '.ts' AS path,

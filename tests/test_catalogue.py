@@ -40,7 +40,7 @@ def test_query_equals_sql(spark, duck, name):
 
 def test_bootstrap_holds_the_rate(spark):
     row = catalogue.queries()["cluster_interval"](spark, DIR).first()
-    assert row.lo <= row.rate <= row.hi and row.resamples == 200
+    assert row.lo <= row.rate <= row.hi and row.resamples == 5000
     assert row == catalogue.queries()["cluster_interval"](spark, DIR).first()
 
 
