@@ -27,7 +27,7 @@ def test_eligibility_ladder(spark):
     base = {"measured": 190_000.0, "ceiling": 180_000, "floor_tokens": 60_000.0, "trigger": 150_000, "appends": 1, "tail_asked": True, "append_on": True, "single": True, "forced": False, "append_target": 5_000, "least_runway": 30_000}
     got = one(spark, cb.ELIGIBILITY, ["decision", "reason", "band_tokens", "runway"], **base)
     assert tuple(got) == ("append", "runway-holds", 23_400, 96_600)
-    assert one(spark, cb.ELIGIBILITY, ["decision", "reason"], **{**base, "floor_tokens": 140_000.0})[:] == ("hard-epoch", "runway-exhausted")
+    assert one(spark, cb.ELIGIBILITY, ["decision", "reason"], **{**base, "floor_tokens": 150_000.0})[:] == ("hard-epoch", "runway-exhausted")
     assert one(spark, cb.ELIGIBILITY, ["decision", "reason"], **{**base, "appends": 0})[:] == ("append", "runway-holds")
     assert one(spark, cb.ELIGIBILITY, ["decision", "reason"], **{**base, "measured": 100.0})[:] == ("reuse", "below-single-ceiling")
     assert one(spark, cb.ELIGIBILITY, ["decision", "reason"], **{**base, "single": False})[:] == ("hard-epoch", "pressure-ceiling")
