@@ -40,8 +40,11 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 # candidate of its own, and so is every way to read digits: candidates of a kind overlap.
 _AT = r"(?:\s?(?:\(at\)|\[at\]|\{at\}|<at>|\(@\)|\[@\]|@)\s?|\s(?:at|AT|At)\s)"
 _DOT = r"(?:\s?(?:\(dot\)|\[dot\]|\{dot\}|<dot>|\(\.\)|\[\.\])\s?|\s(?:dot|DOT|Dot)\s|\.)"
-_SPELLED = re.compile(rf"(?<![A-Za-z0-9._%+-])([A-Za-z0-9._%+-]{{1,64}}{_AT}[A-Za-z0-9-]{{1,63}})((?:{_DOT}[A-Za-z]{{2,24}}){{1,3}})(?![A-Za-z0-9-])", re.I)
+_SIGN = re.compile(rf"{_AT}(?=[A-Za-z0-9-])", re.I)
+_HOST = re.compile(rf"[A-Za-z0-9-]{{1,63}}(?=((?:{_DOT}[A-Za-z]{{2,24}}){{1,3}})(?![A-Za-z0-9-]))", re.I)
 _PART = re.compile(rf"{_DOT}[A-Za-z]{{2,24}}", re.I)
+#: Characters of which cards and phone numbers consist; none has fewer than seven of them.
+_NUMBER = re.compile(r"[0-9+(][0-9+\x20./()-]{6,}")
 _HEX = "[0-9A-Fa-f]{1,4}"
 _LOOSE = {
     "ip": [
@@ -111,14 +114,21 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 def candidates(text: str) -> list[tuple[str, int, int]]:
     """Looser spans of each kind; they may overlap."""
     out = []
-    for m in _SPELLED.finditer(text):
-        at = m.end(1)
-        while at < m.end():
-            at = _PART.match(text, at, m.end()).end()
-            out.append(("email", m.start(), at))
-    for kind, patterns in _LOOSE.items():
-        out += dict.fromkeys((kind, m.start(), m.end()) for pattern in patterns for m in pattern.finditer(text))
-    return out
+    for sign in _SIGN.finditer(text):
+        start = sign.start()
+        while start > max(0, sign.start() - 64) and text[start - 1] in _LOCAL:
+            start -= 1
+        host = _HOST.match(text, sign.end()) if start < sign.start() else None
+        if host:
+            at = host.end()
+            while at < host.end(1):
+                at = _PART.match(text, at, host.end(1)).end()
+                out.append(("email", start, at))
+    # an address has two colons side by side, or seven of them
+    found = [("ip", m) for i, p in enumerate(_LOOSE["ip"]) if (text.count(":") >= 7 if i == 0 else "::" in text) for m in p.finditer(text)]
+    for run in _NUMBER.finditer(text):
+        found += [(kind, m) for kind in ("card", "phone") for p in _LOOSE[kind] for m in p.finditer(text, run.start(), run.end())]
+    return out + list(dict.fromkeys((kind, m.start(), m.end()) for kind, m in found))
 
 
 def _address(span: str) -> bool:
