@@ -23,6 +23,8 @@ from loomspark.llm.common import id_crc, mapped, table
 
 DIMS = 1 << 16
 PER_LANGUAGE = 600
+#: Shares of a language in which its first rows are chosen before they meet in one task.
+SALTS = 64
 UNKNOWN = "und"
 _SCALE = 100.0
 _LETTER = np.zeros(0x110000, dtype=bool)
@@ -152,7 +154,9 @@ def train(docs: DataFrame, learn: Column, per_language: int = PER_LANGUAGE) -> M
     """Learns from the rows of ``docs`` (doc_id, text, lang) that ``learn`` selects and that have a language.
 
     What reaches the driver is bounded by ``DIMS`` and by ``per_language`` sparse vectors for each
-    language, ties of the hash apart. Without labelled text the model has no language and answers ``und``.
+    language: the distinct texts of least hash, so repeated rows count once. The first of a language are
+    chosen within ``SALTS`` shares of it, then among those. Without labelled text the model has no
+    language and answers ``und``.
     """
     known = docs.where(learn & F.col("lang").isNotNull())
     counts = known.where(F.col("text").isNotNull()).select("text").transform(mapped, _frequencies, "dim int, df long").groupBy("dim").agg(F.sum("df")).collect()
@@ -163,15 +167,19 @@ def train(docs: DataFrame, learn: Column, per_language: int = PER_LANGUAGE) -> M
         else:
             df[dim] = n
     idf = np.log((1.0 + texts) / (1.0 + df)) + 1.0
-    turn = F.xxhash64("doc_id", "lang")
-    first = W.partitionBy("lang").orderBy("turn", "doc_id")
-    chosen = known.where(F.col("text").isNotNull()).select("lang", "doc_id", turn.alias("turn")).withColumn("n", F.row_number().over(first)).where(F.col("n") <= per_language)
-    limit = chosen.groupBy("lang").agg(F.max("turn").alias("last_turn")).collect()
+    turn, print_ = F.xxhash64("doc_id", "lang"), F.xxhash64("text")
+    keyed = known.where(F.col("text").isNotNull()).select("lang", turn.alias("turn"), print_.alias("print")).distinct()
+    salt = F.pmod("turn", F.lit(SALTS))
+    share = W.partitionBy("lang", "salt").orderBy("turn", "print")
+    few = keyed.withColumn("salt", salt).withColumn("n", F.row_number().over(share)).where(F.col("n") <= per_language).select("lang", "turn", "print")
+    first = W.partitionBy("lang").orderBy("turn", "print")
+    chosen = few.withColumn("n", F.row_number().over(first)).where(F.col("n") <= per_language)
+    limit = chosen.groupBy("lang").agg(F.max(F.struct("turn", "print")).alias("last")).collect()
     if not limit:
         return Model([], np.zeros((DIMS, 0)), np.zeros(0), 1.0)
-    last = F.map_from_arrays(F.array(*(F.lit(r.lang) for r in limit)), F.array(*(F.lit(r.last_turn) for r in limit)))
-    bound = turn <= F.try_element_at(last, F.col("lang"))
-    sample = known.where(F.col("text").isNotNull() & bound).select("lang", "text", turn.alias("turn"))
+    last = F.map_from_arrays(F.array(*(F.lit(r.lang) for r in limit)), F.array(*(F.struct(F.lit(r.last.turn).alias("turn"), F.lit(r.last.print).alias("print")) for r in limit)))
+    bound = F.struct(turn.alias("turn"), print_.alias("print")) <= F.try_element_at(last, F.col("lang"))
+    sample = known.where(F.col("text").isNotNull() & bound).select("lang", "text", turn.alias("turn"), print_.alias("print")).dropDuplicates(["lang", "turn", "print"])
     got = sample.transform(mapped, _vectors, "lang string, turn long, dims binary, tf binary").collect()
     got = sorted((r.turn, r.lang, bytes(r.dims), bytes(r.tf)) for r in got)
     languages = sorted({r[1] for r in got})
