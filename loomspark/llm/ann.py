@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, FloatType
 
 from loomspark.llm.common import mapped, materialize, shared_dir, table
 
@@ -154,11 +155,13 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """vec_id and the vector as doubles, without null, zero or non-finite vectors.
+    """vec_id and the vector, single precision kept as it is, without null, zero or non-finite vectors.
 
     A null vec_id takes no part. Vectors of another length than the commonest take none either.
     """
-    good = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    kind = vectors.schema["embedding"].dataType
+    kept = isinstance(kind, ArrayType) and isinstance(kind.elementType, FloatType | DoubleType)
+    good = vectors.select("vec_id", (F.col("embedding") if kept else F.col("embedding").cast("array<double>")).alias("v"))
     good = good.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull())
     good = good.where(F.forall("v", lambda e: e.isNotNull() & (F.abs(e) < float("inf")) & ~F.isnan(e)) & F.exists("v", lambda e: e != 0))
     lengths = good.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
@@ -188,7 +191,7 @@ def search(vectors: DataFrame, is_query: F.Column, k: int = 5, rerank: int = RER
             packed = pack(book.codes(x / np.sqrt((x * x).sum(1))[:, None])) if len(x) else np.zeros((0, 1), np.uint8)
             yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("v"), pa.array([p.tobytes() for p in packed], pa.binary())], names=["vec_id", "v", "codes"])
 
-    rows = materialize(good.transform(mapped, code, "vec_id long, v array<double>, codes binary"), f"{path}/codes")
+    rows = materialize(good.transform(mapped, code, f"vec_id long, v {good.schema['v'].dataType.simpleString()}, codes binary"), f"{path}/codes")
     queries = rows.where(is_query).select("vec_id", "v").distinct()
     row_blocks, query_blocks = math.ceil(total / ROW_BLOCK), max(1, math.ceil(queries.count() / QUERY_BLOCK))
     left = rows.withColumn("r", F.pmod(F.xxhash64("vec_id", "codes"), F.lit(row_blocks)).cast("int")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))

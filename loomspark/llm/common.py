@@ -25,14 +25,31 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder under ``spark.checkpoint.dir``; a local one is set only where that is unset."""
+    """A new folder under ``spark.checkpoint.dir``.
+
+    Where that is unset, a local session gets a local folder; on a cluster it is an error, since its
+    executors share no local folder.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.sparkContext.getCheckpointDir()
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not base:
         base = "file://" + tempfile.mkdtemp(prefix="loomspark-")
         spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/loom-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/loom-{uuid.uuid4().hex}"
+    _scratch.append(path)
+    return path
+
+
+_scratch: list[str] = []
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Deletes every scratch folder that this driver's operators made; results not yet written need theirs."""
+    while _scratch:
+        drop_path(spark, _scratch.pop())
 
 
 def materialize(df: DataFrame, path: str) -> DataFrame:
