@@ -39,6 +39,8 @@ def spark(expression: str) -> str:
     out = re.sub(r"\breplace_all\(", "regexp_replace(", _calls(expression, "walk_up", lambda x: f"aggregate({x}, '', (a, x) -> {_UP})"))
     out = _calls(out, "digest", lambda x: f"sha2({x}, 256)")
     out = _calls(out, "iso_ms", lambda x: f"unix_millis(try_to_timestamp({x}))")
+    out = _calls(out, "json_text", lambda x: f"substring(to_json(named_struct('t', {x})), 6, length(to_json(named_struct('t', {x}))) - 6)")
+    out = _calls(out, "listed", lambda x: f"array_join(array({x}), ',')")
     out = _calls(out, "first_distinct", lambda x: f"array_distinct({x})")
     out = _calls(out, "string_lines", lambda x: f"split({x}, r'\\r?\\n')")
     out = _calls(out, "pieces", lambda x: "split({}, {})".format(*_arguments(x)))
@@ -74,6 +76,8 @@ def duck(expression: str) -> str:
     for name, other in _DUCK.items():
         out = re.sub(rf"(?<![A-Za-z_]){re.escape(name)}", other, out)
     out = re.sub(r"\b([a-z]) -> ", r"lambda \1: ", out)
+    out = _calls(out, "json_text", lambda x: f"CAST(to_json({x}) AS VARCHAR)")
+    out = _calls(out, "listed", lambda x: f"coalesce(array_to_string([{x}], ','), '')")
     out = _calls(out, "first_distinct", lambda x: f"list_filter({x}, lambda e, i: list_position({x}, e) = i)")
     out = _calls(out, "string_lines", lambda x: f"string_split_regex({x}, '\\r?\\n')")
     out = _calls(out, "pieces", lambda x: "string_split({}, {})".format(*_arguments(x)))
