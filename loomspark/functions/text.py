@@ -101,8 +101,8 @@ def stem_sql(token: str) -> str:
 
 def distinctive_terms(text: Column, shortest: int = 3) -> Column:
     """Stems of the tokens that are neither function nor reserved words, once each in their order."""
-    dull = F.array(*(F.lit(w) for w in dict.fromkeys([*STOPWORDS, *CODE_WORDS])))
-    kept = F.filter(tokens(text), lambda t: (F.length(t) >= shortest) & ~F.array_contains(dull, t))
+    dull = list(dict.fromkeys([*STOPWORDS, *CODE_WORDS]))
+    kept = F.filter(tokens(text), lambda t: (F.length(t) >= shortest) & ~t.isin(dull))
     return F.array_distinct(F.transform(kept, stem))
 
 

@@ -20,14 +20,32 @@ def inverse_frequency(docs: DataFrame) -> DataFrame:
     return document_frequency(docs).withColumn("idf", F.log(F.lit(n) / (F.col("df") + 1.0)))
 
 
+#: A token in one of so many documents or more is frequent. With d distinct tokens a document on average there are at
+#: most d * FREQUENT such tokens, however many documents there are, so they fit a broadcast; its size is checked.
+FREQUENT, BROADCAST_ROWS = 1000, 2_000_000
+
+
 def weights(docs: DataFrame) -> DataFrame:
-    """(doc_id, token, w): (1 + ln tf) idf for tokens of positive idf."""
-    n = docs.count()
+    """(doc_id, token, w): (1 + ln tf) idf for tokens of positive idf.
+
+    Texts are dealt by document once, so counting needs no further exchange. Weights of frequent tokens
+    meet their many rows by broadcast and leave them where they are; only rows of rare tokens, of which
+    none is skewed, travel to be joined.
+    """
     tf = docs.select("doc_id", F.explode(tx.tokens(F.col("text"))).alias("token")).groupBy("doc_id", "token").agg(F.count(F.lit(1)).alias("tf"))
+    n = docs.count()
     # one row a document and token: frequencies come from the same exchange, so texts are split once
     df = tf.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     idf = df.withColumn("idf", F.log(F.lit(n) / (F.col("df") + 1.0))).where("idf > 0")
-    return tf.join(idf, "token").select("doc_id", "token", ((1 + F.log("tf")) * F.col("idf")).alias("w"))
+    many = F.col("df") >= max(2, n // FREQUENT)
+    frequent = idf.where(many)
+    if n < FREQUENT * 2 or frequent.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
+        return tf.join(idf, "token").select("doc_id", "token", ((1 + F.log("tf")) * F.col("idf")).alias("w"))
+    common = F.broadcast(frequent.select("token", F.col("idf").alias("common")))
+    marked = tf.join(common, "token", "left")
+    rare = marked.where("common is null").drop("common").join(idf.where(~many), "token").select("doc_id", "token", "tf", "idf")
+    both = marked.where("common is not null").select("doc_id", "token", "tf", F.col("common").alias("idf")).unionByName(rare)
+    return both.select("doc_id", "token", ((1 + F.log("tf")) * F.col("idf")).alias("w"))
 
 
 def top_terms(docs: DataFrame, k: int) -> DataFrame:
@@ -75,19 +93,25 @@ def overlap_recall(rows: DataFrame, floor: float = 0.3, least: int = 2) -> DataF
     n = rows.count()
     idf = stemmed_idf(document_frequency(rows.select(F.struct("conv_id", "turn").alias("doc_id"), "text")), n).where("idf > 0").select("stem", "idf")
     terms = rows.select("conv_id", "turn", F.explode(tx.distinctive_terms(F.col("text"))).alias("stem")).join(idf, "stem")
-    earlier = terms.select("conv_id", F.col("turn").alias("earlier"), "stem")
-    pairs = terms.join(earlier, ["conv_id", "stem"]).where("earlier < turn")
-    scored = pairs.groupBy("conv_id", "turn", "earlier").agg(F.round(F.sum("idf"), 4).alias("score"), F.count_if(F.col("idf") >= floor).alias("distinctive"))
-    return scored.where(F.col("distinctive") >= least)
+    # pairs meet by strong stems only; what weak ones add is found within the pairs that are left
+    strong = terms.where(F.col("idf") >= floor)
+    earlier = strong.select("conv_id", F.col("turn").alias("earlier"), "stem")
+    pairs = strong.join(earlier, ["conv_id", "stem"]).where("earlier < turn").groupBy("conv_id", "turn", "earlier").agg(F.count(F.lit(1)).alias("distinctive")).where(F.col("distinctive") >= least)
+    held = terms.groupBy("conv_id", "turn").agg(F.collect_list(F.struct("stem", "idf")).alias("own"))
+    both = pairs.join(held, ["conv_id", "turn"]).join(held.select("conv_id", F.col("turn").alias("earlier"), F.col("own").alias("other")), ["conv_id", "earlier"])
+    shared = F.aggregate(F.array_sort(F.array_intersect("own", "other")), F.lit(0.0), lambda a, x: a + x["idf"])
+    return both.select("conv_id", "turn", "earlier", F.round(shared, 4).alias("score"), "distinctive")
 
 
 def affinity(sets: DataFrame, least: int = 1) -> DataFrame:
     """(set_id, item) to (a, b, score): ordered pairs by how often they share a set, over the largest count."""
     one = sets.select("set_id", "item").distinct()
-    pairs = one.select("set_id", F.col("item").alias("a")).join(one.select("set_id", F.col("item").alias("b")), "set_id").where("a <> b")
+    pairs = one.select("set_id", F.col("item").alias("a")).join(one.select("set_id", F.col("item").alias("b")), "set_id").where("a < b")
     counts = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
     top = counts.agg(F.max("n").alias("top")).scalar()
-    return counts.where(F.col("n") >= least).select("a", "b", (F.col("n") / top).alias("score"))
+    kept = counts.where(F.col("n") >= least).select("a", "b", (F.col("n") / top).alias("score"))
+    turned = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
+    return kept.select(turned.alias("p"), "score").select("p.a", "p.b", "score")
 
 
 def best_of(rows: DataFrame, keys: list[str], order: list[Column], k: int = 1) -> DataFrame:

@@ -113,11 +113,10 @@ def call_result_pairing(spark: SparkSession, d: str) -> DataFrame:
 def forward_reference_value(spark: SparkSession, d: str) -> DataFrame:
     t = touches(spark, d).withColumn("g", F.floor(F.col("pos") / 5))
     live = t.groupBy("session").agg((F.max("g") - 2).alias("fold"))
-    own = t.select("session", "g", "path").distinct()
     weight = F.when(F.col("kind") == "edit", 4).when(F.col("kind") == "mention", 3).otherwise(1)
-    refs = t.select("session", F.col("g").alias("later"), "path", weight.alias("w"))
-    pairs = own.join(refs, ["session", "path"]).where("later > g").join(live, "session").where("g < fold")
-    return pairs.groupBy("session", "g").agg(F.sum(F.col("w") * F.when(F.col("later") >= F.col("fold"), 2).otherwise(1)).alias("score"))
+    held = t.join(live, "session").groupBy("session", "path", "g", "fold").agg(F.sum(weight * F.when(F.col("g") >= F.col("fold"), 2).otherwise(1)).alias("w"))
+    later = F.sum("w").over(W.partitionBy("session", "path").orderBy("g").rowsBetween(1, W.unboundedFollowing))
+    return held.withColumn("later", later).where("later is not null and g < fold").groupBy("session", "g").agg(F.sum("later").alias("score"))
 
 
 def nearest_asof(spark: SparkSession, d: str) -> DataFrame:
