@@ -34,8 +34,13 @@ def _calls(expression: str, name: str, render: Callable[[str], str]) -> str:
     return expression
 
 
+#: A word boundary of ASCII letters, digits and underscores, as DuckDB means it; Java's also counts other letters.
+BOUNDARY = "(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
+
+
 def spark(expression: str) -> str:
     """The expression for Spark, with the shared names for what is called differently."""
+    expression = expression.replace("\\b", BOUNDARY)
     out = re.sub(r"\breplace_all\(", "regexp_replace(", _calls(expression, "walk_up", lambda x: f"aggregate({x}, '', (a, x) -> {_UP})"))
     out = _calls(out, "digest", lambda x: f"sha2({x}, 256)")
     out = _calls(out, "iso_ms", lambda x: f"unix_millis(try_to_timestamp({x}))")

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from loomspark.functions.rules import BOUNDARY
+
 # Words of a claim that match nothing.
 CLAIM_STOP = "about after again also because been being done fixed from have into issue problem result that their there these this those through verified with without".split()
 # How a line of a result counts as evidence.
@@ -26,7 +28,7 @@ def line_score(line: Column, tool: Column, is_error: Column) -> Column:
     """How strong a line of a tool's result is as evidence; null where it is none."""
     plain = F.trim(F.regexp_replace(line, r"\s+", " "))
     score = (
-        F.when(is_error, 80).otherwise(0) + F.when(F.lower(plain).rlike(SIGNAL), 35).otherwise(0) + F.when(F.lower(plain).rlike(FILE), 20).otherwise(0)
+        F.when(is_error, 80).otherwise(0) + F.when(F.lower(plain).rlike(SIGNAL.replace(r"\b", BOUNDARY)), 35).otherwise(0) + F.when(F.lower(plain).rlike(FILE), 20).otherwise(0)
         + F.when(F.lower(tool).rlike(INVESTIGATES), 12).otherwise(0) - F.when(F.lower(tool).rlike(COORDINATES), 25).otherwise(0) + F.when(F.length(plain) >= 24, 5).otherwise(0)
     )
     return F.when((F.length(plain) >= 4) & ~F.lower(plain).rlike(GENERIC) & (score >= 25), score)
