@@ -53,9 +53,14 @@ def drop_scratch(spark: SparkSession) -> None:
 
 
 def materialize(df: DataFrame, path: str) -> DataFrame:
-    """Writes ``df`` as Parquet and reads it back, which cuts lineage in a way executors share."""
+    """Writes ``df`` as Parquet and reads it back, which cuts lineage in a way executors share.
+
+    What the write has shuffled is of no more use: a collection on the driver lets Spark's cleaner
+    delete it from the executors' disks.
+    """
     spark = df.sparkSession
     df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
