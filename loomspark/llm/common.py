@@ -52,15 +52,19 @@ def drop_scratch(spark: SparkSession) -> None:
         drop_path(spark, _scratch.pop())
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Lets Spark's cleaner delete the shuffles of queries that are over: it does when the driver collects garbage."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def materialize(df: DataFrame, path: str) -> DataFrame:
     """Writes ``df`` as Parquet and reads it back, which cuts lineage in a way executors share.
 
-    What the write has shuffled is of no more use: a collection on the driver lets Spark's cleaner
-    delete it from the executors' disks.
+    What the write has shuffled is of no more use and is freed.
     """
     spark = df.sparkSession
     df.write.mode("overwrite").option("compression", "zstd").parquet(path)
-    spark.sparkContext._jvm.System.gc()
+    free_shuffles(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -8,7 +8,7 @@ and sorted within. A new batch is merge-joined bucket by bucket with every run;
 (in a run or in the batch) is a candidate, with the place of its first occurrence. Anchors not met
 before make the batch's own run, and when as many runs as ``fanout`` have gathered they are compacted
 into one. Candidates are then verified on the windows themselves: windows that elected a candidate are
-compared by 128 bits, two hashes of all 20 words that share no base, and all but the earliest of equal
+compared by 96 bits of two hashes of all 20 words that share no base, and all but the earliest of equal
 windows are repeated. A document loses each word that a repeated window covers.
 
 Common passages do not gather in one task: a chunk of documents sends each anchor and each window
@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.llm.common import drop_path, gram_hashes, mapped, mix64, shared_dir, table, word_hashes, word_spans
+from loomspark.llm.common import drop_path, free_shuffles, gram_hashes, mapped, materialize, mix64, shared_dir, table, word_hashes, word_spans
 
 WINDOW = 20
 ANCHOR = 6
@@ -198,6 +198,7 @@ class FingerprintIndex:
         self.made += 1
         path = f"{self.path}/batch-{self.made}"
         found.write.option("compression", "zstd").partitionBy("kind").parquet(path)
+        free_shuffles(self.spark)
         self.flags.append(path)
         self.runs.append(path)
         if len(self.runs) > self.fanout:
@@ -230,8 +231,9 @@ class FingerprintIndex:
 
 
 def window_hashes(words: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two hashes of every window: different bases over differently mixed words."""
-    return gram_hashes(words, window, salt=0x5851F42D4C957F2D), gram_hashes(mix64(words + np.uint64(0x2545F4914F6CDD1D)), window, base=np.uint64(0xC2B2AE3D27D4EB4F))
+    """A hash of every window, and 32 bits of one with another base over otherwise mixed words."""
+    check = gram_hashes(mix64(words + np.uint64(0x2545F4914F6CDD1D)), window, base=np.uint64(0xC2B2AE3D27D4EB4F))
+    return gram_hashes(words, window, salt=0x5851F42D4C957F2D), (check >> np.uint64(32)).astype(np.uint32)
 
 
 def _first_of_equal(hashes: np.ndarray, checks: np.ndarray) -> np.ndarray:
@@ -268,7 +270,7 @@ def _window_rows(buckets: int, window: int, anchor: int):
             rows = [(-1 - name % 997, name, None, *_compact_places(doc[repeated], place[repeated], ids))] if repeated.any() else []
             hashes, checks, doc, place = hashes[new], checks[new], doc[new], place[new]
             for k, part in _parts(_dealt(hashes, buckets)):
-                rows.append((k, name, np.stack([hashes[part], checks[part]]).tobytes(), *_compact_places(doc[part], place[part], ids)))
+                rows.append((k, name, hashes[part].tobytes() + checks[part].tobytes(), *_compact_places(doc[part], place[part], ids)))
             yield _answer(rows)
 
     return run
@@ -308,9 +310,11 @@ def _settle(found: pa.Table) -> pa.Table:
     """
     if found["bucket"][0].as_py() < 0:
         return found
-    questions = [np.frombuffer(h, np.uint64).reshape(2, -1) for h in found["hashes"].to_pylist()]
-    hashes, checks = np.concatenate(questions, axis=1)
-    chunk = np.repeat(np.asarray(found["chunk"]), [q.shape[1] for q in questions])
+    blobs = found["hashes"].to_pylist()
+    sizes = [len(b) // 12 for b in blobs]
+    hashes = np.concatenate([np.frombuffer(b, np.uint64, n) for b, n in zip(blobs, sizes, strict=True)])
+    checks = np.concatenate([np.frombuffer(b, np.uint32, n, 8 * n) for b, n in zip(blobs, sizes, strict=True)])
+    chunk = np.repeat(np.asarray(found["chunk"]), sizes)
     ids, slots, places = _spread(list(zip(found["ids"].to_pylist(), found["places"].to_pylist(), strict=True)))
     distinct, rank = np.unique(ids, axis=0, return_inverse=True)
     doc = rank.reshape(-1)[slots]
@@ -394,7 +398,8 @@ def deduplicate(docs: DataFrame, batches: int = 3, window: int = WINDOW, anchor:
     asked = own.join(index.candidates(), "did").select("did", "mark", "text", "places")
     found = asked.transform(mapped, _window_rows(buckets, window, anchor), _ANSWER).groupBy("bucket").applyInArrow(_settle, _ANSWER)
     found = found.select("chunk", "ids", "places").groupBy("chunk").applyInArrow(_gather, _STARTS)
-    starts = found.groupBy("did").agg(F.collect_list(F.struct("mark", "places")).alias("found"))
+    # written, so that the windows' shuffles are gone before texts travel again
+    starts = materialize(found.groupBy("did").agg(F.collect_list(F.struct("mark", "places")).alias("found")), f"{path}/starts")
     whole = own.join(starts, "did", "left").select("doc_id", "mark", "text", "found")
     return whole.transform(mapped, _kept(window, with_text), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
 
