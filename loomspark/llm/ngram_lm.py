@@ -1,21 +1,25 @@
-"""Language-model scores by deleted interpolation of bigram, unigram and uniform estimates.
-
-A token's probability is ``w2 c(v t) / c(v) + w1 c(t) / N + w0 / (V + 1)`` after the token ``v``; the
-weights depend on the bucket of the context's frequency ``c(v)`` (powers of two; an unseen context
-has no bigram part). They are learned by expectation-maximisation on counts held back: one training
-document in 25 is left out of the counts that its tokens are scored with, and its tokens, gathered
-into cells of bucket and rounded log estimates, are what the weights explain best. The final model
-counts all training documents.
-
-Texts never leave their chunk: a chunk of documents is stored as its distinct word hashes and one
-index a token. For words, then for bigrams, each chunk sends the sorted hashes of what it holds, with
-their counts, to buckets dealt by hash; a bucket adds them up and answers each chunk in the order of
-its question, so answers are counts alone. A word or bigram is sent once a chunk however frequent it
-is, so frequent words do not gather.
+"""Language-model scores by deleted interpolation of trigram, bigram, unigram and uniform estimates.
+
+A token's probability after the tokens ``u v`` is ``m c(u v t) / c(u v) + (1 - m) p(t | v)``, and
+``p(t | v)`` is ``w2 c(v t) / c(v) + w1 c(t) / N + w0 / (V + 1)``. Every weight depends on the bucket of
+its context's frequency (powers of two; an unseen context has weight 0). They are learned by
+expectation-maximisation on counts held back: one training document in 25 is left out of the counts
+that its tokens are scored with, and its tokens, gathered into cells of bucket and rounded log
+estimates, are what the weights explain best: first those of the bigram mixture, then ``m`` with that
+mixture fixed. The final model counts all training documents. The first token of a document has one
+token of context, its start.
+
+Texts never leave their chunk: a chunk of documents is stored as its distinct word hashes, the most
+frequent first, and one place among them a token. For words, then for bigrams and trigrams, each chunk
+sends the hashes of what it holds, with their counts, to buckets dealt by hash; a bucket adds them up
+and answers each chunk in the order of its question, so answers are counts alone. A word or n-gram is
+sent once a chunk however frequent it is, so frequent words do not gather. N-grams are told apart by
+64-bit hashes.
 """
 
 from __future__ import annotations
 
+import functools
 import itertools
 import math
 from collections.abc import Iterator
@@ -45,13 +49,43 @@ _ASK = "bucket int, chunk long, role int, hashes binary, counts binary"
 _SAY = "bucket int, chunk long, counts binary, total long, distinct long"
 
 
-def _pairs(words: np.ndarray, index: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """The hash of each token with the one before it; the first of a document follows ``START``."""
+WORDS, PAIRS, TRIPLES = 0, 1, 2
+
+
+def planes(index: np.ndarray) -> bytes:
+    """Places as three planes of bytes; frequent words come first, so the upper planes compress well."""
+    return np.ascontiguousarray(index.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].T).tobytes()
+
+
+def from_planes(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 3, 4), np.uint8)
+    out[:, :3] = np.frombuffer(data, np.uint8).reshape(3, -1).T
+    return out.view("<u4").reshape(-1).astype(np.int64)
+
+
+def _firsts(row: dict) -> np.ndarray:
+    """The place of the first token of each document of a chunk."""
+    sizes = np.frombuffer(row["tokens"], np.int32)
+    return np.cumsum(sizes) - sizes
+
+
+def _before(values: np.ndarray, first: np.ndarray, start) -> np.ndarray:
+    """What stands before each token of a document; ``start`` before the first."""
+    out = np.empty_like(values)
+    out[1:] = values[:-1]
+    out[first] = start
+    return out
+
+
+def _grams(words: np.ndarray, index: np.ndarray, first: np.ndarray, level: int) -> np.ndarray:
+    """The hash of each token with the one or two before it; a first token has no trigram, but ``START``."""
     tokens = words[index]
-    before = np.empty_like(tokens)
-    before[1:] = tokens[:-1]
-    before[np.r_[0, last[:-1] + 1]] = START
-    return mix64(before * np.uint64(0x9E3779B97F4A7C15) + tokens)
+    pairs = mix64(_before(tokens, first, START) * np.uint64(0x9E3779B97F4A7C15) + tokens)
+    if level == PAIRS:
+        return pairs
+    out = mix64(_before(pairs, first, START) * np.uint64(0xC2B2AE3D27D4EB4F) + tokens)
+    out[first] = START
+    return out
 
 
 def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -67,8 +101,14 @@ def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = np.searchsorted(starts, begin)
         counts = np.diff(np.r_[first, len(starts)])
         hashes = np.insert(word_hashes(data.lower(), starts, ends), np.r_[first[1:], len(starts)], END)
-        words, index = np.unique(hashes, return_inverse=True)
-        kinds = {"chunk": (next(made), pa.int64()), "role": (role, pa.int32()), "ids": (np.array([[i is None, i or 0] for i in ids], np.int64).tobytes(), pa.binary()), "tokens": ((counts + 1).astype(np.int32).tobytes(), pa.binary()), "words": (words.tobytes(), pa.binary()), "index": (index.astype(np.int32).tobytes(), pa.binary())}
+        words, index, often = np.unique(hashes, return_inverse=True, return_counts=True)
+        order = np.argsort(-often, kind="stable")
+        rank = np.empty_like(order)
+        rank[order] = np.arange(len(order))
+        words, index = words[order], rank[index]
+        if len(words) >= 1 << 24:
+            raise ValueError("a chunk holds more distinct words than three bytes can number")
+        kinds = {"chunk": (next(made), pa.int64()), "role": (role, pa.int32()), "ids": (np.array([[i is None, i or 0] for i in ids], np.int64).tobytes(), pa.binary()), "tokens": ((counts + 1).astype(np.int32).tobytes(), pa.binary()), "words": (words.tobytes(), pa.binary()), "index": (planes(index), pa.binary())}
         return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in kinds.values()], names=list(kinds))
 
     held: dict[int, tuple[list, list, list]] = {}
@@ -85,24 +125,21 @@ def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield chunk(role, ids, texts)
 
 
-def _hashes(row: dict, pairs: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct hashes of a stored chunk's words (or pairs) in ascending order, and the place of each token among them."""
-    words, index = np.frombuffer(row["words"], np.uint64), np.frombuffer(row["index"], np.int32)
-    if not pairs:
-        return words, index
-    last = np.cumsum(np.frombuffer(row["tokens"], np.int32)) - 1
-    return np.unique(_pairs(words, index, last), return_inverse=True)
+def _hashes(row: dict, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes of a stored chunk's words or n-grams, and the place of each token among them."""
+    words, index = np.frombuffer(row["words"], np.uint64), from_planes(row["index"])
+    return (words, index) if level == WORDS else np.unique(_grams(words, index, _firsts(row), level), return_inverse=True)
 
 
 def _deal(hashes: np.ndarray, buckets: int) -> np.ndarray:
     return (mix64(hashes) % np.uint64(buckets)).astype(np.int64)
 
 
-def _ask(buckets: int, pairs: bool):
+def _ask(buckets: int, level: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                hashes, index = _hashes(row, pairs)
+                hashes, index = _hashes(row, level)
                 counts = np.bincount(index, minlength=len(hashes)).astype("<u4")
                 rows = [(k, row["chunk"], row["role"], hashes[part].tobytes(), counts[part].tobytes()) for k, part in _parts(_deal(hashes, buckets))]
                 kinds = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
@@ -135,16 +172,24 @@ def _say(asked: pa.Table) -> pa.Table:
 
 @dataclass
 class Mixture:
-    """Totals of the training tokens and the weights (bigram, unigram, uniform) of each context bucket."""
+    """Totals of the training tokens, the weights (bigram, unigram, uniform) and the trigram weight of each context bucket."""
 
     tokens: int
     words: int
     weights: np.ndarray
+    third: np.ndarray
 
-    def probability(self, context: np.ndarray, pair: np.ndarray, word: np.ndarray) -> np.ndarray:
+    def bigram(self, context: np.ndarray, pair: np.ndarray, word: np.ndarray) -> np.ndarray:
         w = self.weights[bucket_of(context)]
-        two = np.divide(pair, context, out=np.zeros(len(pair)), where=context > 0)
-        return w[:, 0] * two + w[:, 1] * word / max(1, self.tokens) + w[:, 2] / (self.words + 1)
+        return w[:, 0] * ratio(pair, context) + w[:, 1] * word / max(1, self.tokens) + w[:, 2] / (self.words + 1)
+
+    def probability(self, two: np.ndarray, triple: np.ndarray, context: np.ndarray, pair: np.ndarray, word: np.ndarray) -> np.ndarray:
+        m = self.third[bucket_of(two)]
+        return m * ratio(triple, two) + (1 - m) * self.bigram(context, pair, word)
+
+
+def ratio(part: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    return np.divide(part, whole, out=np.zeros(len(part)), where=whole > 0)
 
 
 def bucket_of(context: np.ndarray) -> np.ndarray:
@@ -155,27 +200,33 @@ def bucket_of(context: np.ndarray) -> np.ndarray:
     return out
 
 
-def _answers(row: dict, replies: list[dict], buckets: int, pairs: bool, kept: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of a chunk's distinct hashes put together from its replies, and the place of each token."""
-    hashes, index = _hashes(row, pairs)
+def _answers(row: dict, replies: list[dict], buckets: tuple[int, ...], level: int, kept: bool) -> np.ndarray:
+    """The count of each token's word or n-gram, put together from the chunk's replies."""
+    hashes, index = _hashes(row, level)
     counts = np.zeros(len(hashes), np.int64)
-    by = {r["bucket"]: r["counts"] for r in replies}
-    for k, part in _parts(_deal(hashes, buckets)):
+    by = {r["bucket"]: r["counts"] for r in replies if r["level"] == level}
+    for k, part in _parts(_deal(hashes, buckets[level])):
         got = np.frombuffer(by[k], "<u4")
         counts[part] = got[len(part) :] if kept else got[: len(part)]
-    return counts, index
+    return counts[index]
+
 
+def _counts(row: dict, replies: list[dict], buckets: tuple[int, ...], kept: bool, documents: int) -> tuple[np.ndarray, ...]:
+    """For each token of a chunk: counts of its two tokens of context, the trigram, its one, the bigram, and itself."""
+    word, pair, triple = (_answers(row, replies, buckets, level, kept) for level in (WORDS, PAIRS, TRIPLES))
+    first = _firsts(row)
+    return _before(pair, first, 0), triple, _before(word, first, documents), pair, word
 
-def _counts(row: dict, word_replies: list[dict], pair_replies: list[dict], word_buckets: int, pair_buckets: int, kept: bool, documents: int) -> tuple[np.ndarray, ...]:
-    """For each token of a chunk: count of its context, of the pair, and of itself."""
-    counts, index = _answers(row, word_replies, word_buckets, False, kept)
-    word = counts[index]
-    pairs, place = _answers(row, pair_replies, pair_buckets, True, kept)
-    context = np.empty_like(word)
-    context[1:] = word[:-1]
-    last = np.cumsum(np.frombuffer(row["tokens"], np.int32)) - 1
-    context[np.r_[0, last[:-1] + 1]] = documents
-    return context, pairs[place], word
+
+def _rounded(x: np.ndarray) -> np.ndarray:
+    """Steps of the logarithm for cells; one step for zero."""
+    return np.where(x > 0, np.round(np.log(np.maximum(x, 1e-300)) * CELL), -10_000).astype(np.int64)
+
+
+def _gathered(columns: list[np.ndarray]) -> list[tuple]:
+    """Distinct rows of whole numbers, each with how often it occurs."""
+    keys, count = np.unique(np.stack(columns, axis=1), axis=0, return_counts=True)
+    return [(*map(int, k), int(c)) for k, c in zip(keys, count, strict=True)]
 
 
 def _table(rows: list[tuple], kinds: dict[str, pa.DataType]) -> pa.Table:
@@ -202,6 +253,23 @@ def expectation_maximisation(cells: np.ndarray, rounds: int = 60) -> np.ndarray:
     return weights
 
 
+def third_weights(cells: np.ndarray, rounds: int = 60) -> np.ndarray:
+    """The trigram weight of each bucket from cells (bucket, tokens, trigram estimate, bigram mixture)."""
+    weights = np.full(BUCKETS, 0.5)
+    weights[0] = 0.0
+    if not len(cells):
+        return weights
+    bucket, n, three, two = cells[:, 0].astype(int), cells[:, 1], cells[:, 2], cells[:, 3]
+    size = np.bincount(bucket, weights=n, minlength=BUCKETS)
+    for _ in range(rounds):
+        own = weights[bucket] * three
+        share = np.bincount(bucket, weights=n * own / np.maximum(own + (1 - weights[bucket]) * two, 1e-300), minlength=BUCKETS)
+        everywhere = share[1:].sum() / max(size[1:].sum(), 1e-9)
+        weights = (share + 2.0 * everywhere) / (size + 2.0)  # two tokens' worth of the average bucket
+        weights[0] = 0.0
+    return weights
+
+
 def score(docs: DataFrame, held_out: F.Column, left_out: F.Column) -> DataFrame:
     """One row a document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -212,47 +280,56 @@ def score(docs: DataFrame, held_out: F.Column, left_out: F.Column) -> DataFrame:
     spark, path = docs.sparkSession, shared_dir(docs.sparkSession)
     role = F.when(held_out, HELD_OUT).when(left_out, LEFT_OUT).otherwise(COUNTED).alias("role")
     store = materialize(docs.select("doc_id", role, "text").transform(mapped, _store, _CHUNK), f"{path}/store")
-    size = store.agg(F.sum(F.octet_length("index") / 4), F.sum(F.octet_length("words") / 8), F.sum(F.when(F.col("role") != HELD_OUT, F.octet_length("ids") / 16)), F.sum(F.when(F.col("role") == COUNTED, F.octet_length("ids") / 16))).first()
+    size = store.agg(F.sum(F.octet_length("index") / 3), F.sum(F.octet_length("words") / 8), F.sum(F.when(F.col("role") != HELD_OUT, F.octet_length("ids") / 16)), F.sum(F.when(F.col("role") == COUNTED, F.octet_length("ids") / 16))).first()
     tokens, words, documents, fewer = (int(x or 0) for x in size)
-    word_buckets, pair_buckets = max(1, math.ceil(words / BUCKET)), max(1, math.ceil(tokens / BUCKET))
+    buckets = (max(1, math.ceil(words / BUCKET)), *[max(1, math.ceil(tokens / BUCKET))] * 2)
 
-    def answers(buckets: int, pairs: bool, name: str) -> DataFrame:
-        asked = store.transform(mapped, _ask(buckets, pairs), _ASK)
-        return materialize(asked.groupBy("bucket").applyInArrow(_say, _SAY), f"{path}/{name}")
+    def answers(level: int) -> DataFrame:
+        asked = store.transform(mapped, _ask(buckets[level], level), _ASK)
+        return materialize(asked.groupBy("bucket").applyInArrow(_say, _SAY), f"{path}/counts-{level}")
 
-    about_words, about_pairs = answers(word_buckets, False, "words"), answers(pair_buckets, True, "pairs")
-    train = about_words.agg(F.sum("total"), F.sum("distinct")).first()
+    about = [answers(level) for level in (WORDS, PAIRS, TRIPLES)]
+    train = about[WORDS].agg(F.sum("total"), F.sum("distinct")).first()
     n, v = int(train[0] or 0), int(train[1] or 0)
-    replies = about_words.select("chunk", F.lit(0).alias("pairs"), "bucket", "counts").union(about_pairs.select("chunk", F.lit(1).alias("pairs"), "bucket", "counts"))
+    replies = functools.reduce(DataFrame.union, (a.select("chunk", F.lit(level).alias("level"), "bucket", "counts") for level, a in enumerate(about)))
+    teach = store.where(F.col("role") == LEFT_OUT)
+    taught = teach.groupBy("chunk").cogroup(replies.join(teach.select("chunk"), "chunk", "left_semi").groupBy("chunk"))
+    kinds = {"b": pa.int32(), "x": pa.int32(), "y": pa.int32(), "n": pa.int64()}
 
-    def cells(chunk: pa.Table, said: pa.Table) -> pa.Table:
-        rows = []
-        said = said.to_pylist()
+    def low(chunk: pa.Table, said: pa.Table) -> pa.Table:
+        rows, said = [], said.to_pylist()
         for row in chunk.to_pylist():
-            context, pair, word = _counts(row, [r for r in said if not r["pairs"]], [r for r in said if r["pairs"]], word_buckets, pair_buckets, True, fewer)
-            two = np.divide(pair, context, out=np.zeros(len(pair)), where=context > 0)
-            at = np.stack([bucket_of(context), *(np.where(x > 0, np.round(np.log(np.maximum(x, 1e-300)) * CELL), -10_000).astype(np.int64) for x in (two, word / max(1, n)))], axis=1)
-            keys, place, count = np.unique(at, axis=0, return_inverse=True, return_counts=True)
-            rows += [(*map(int, k), int(c)) for k, c in zip(keys, count, strict=True)]
-        return _table(rows, {"b": pa.int32(), "two": pa.int32(), "one": pa.int32(), "n": pa.int64()})
+            _, _, context, pair, word = _counts(row, said, buckets, True, fewer)
+            rows += _gathered([bucket_of(context), _rounded(ratio(pair, context)), _rounded(word / max(1, n))])
+        return _table(rows, kinds)
+
+    def cells(gather) -> list[tuple]:
+        """Cells of the documents left out: at most buckets times steps of two logarithms, whatever the input."""
+        found = taught.applyInArrow(gather, "b int, x int, y int, n long").groupBy("b", "x", "y").agg(F.sum("n").alias("n"))
+        return [tuple(r) for r in found.collect()]
 
-    teach = store.where(F.col("role") == LEFT_OUT)
-    taught = teach.groupBy("chunk").cogroup(replies.join(teach.select("chunk"), "chunk", "left_semi").groupBy("chunk")).applyInArrow(cells, "b int, two int, one int, n long")
-    found = [tuple(r) for r in taught.groupBy("b", "two", "one").agg(F.sum("n").alias("n")).collect()]
     value = lambda x: 0.0 if x <= -10_000 else math.exp(x / CELL)
-    weights = expectation_maximisation(np.array([(b, c, value(two), value(one), 1 / (v + 1)) for b, two, one, c in found], float).reshape(-1, 5))
-    model = Mixture(n, v, weights)
+    weights = expectation_maximisation(np.array([(b, c, value(x), value(y), 1 / (v + 1)) for b, x, y, c in cells(low)], float).reshape(-1, 5))
+    lower = Mixture(n, v, weights, np.zeros(BUCKETS))
+
+    def high(chunk: pa.Table, said: pa.Table) -> pa.Table:
+        rows, said = [], said.to_pylist()
+        for row in chunk.to_pylist():
+            two, triple, *rest = _counts(row, said, buckets, True, fewer)
+            seen = two > 0
+            rows += _gathered([bucket_of(two[seen]), _rounded(ratio(triple[seen], two[seen])), _rounded(lower.bigram(*(x[seen] for x in rest)))])
+        return _table(rows, kinds)
+
+    model = Mixture(n, v, weights, third_weights(np.array([(b, c, value(x), value(y)) for b, x, y, c in cells(high)], float).reshape(-1, 4)))
     floor = 0.0 if n else 1.0
 
     def scored(chunk: pa.Table, said: pa.Table) -> pa.Table:
-        rows = []
-        said = said.to_pylist()
+        rows, said = [], said.to_pylist()
         for row in chunk.to_pylist():
-            context, pair, word = _counts(row, [r for r in said if not r["pairs"]], [r for r in said if r["pairs"]], word_buckets, pair_buckets, False, documents)
-            size = np.frombuffer(row["tokens"], np.int32)
-            first = np.cumsum(size) - size
+            counts = _counts(row, said, buckets, False, documents)
+            word, first, size = counts[-1], _firsts(row), np.frombuffer(row["tokens"], np.int32)
             base = np.add.reduceat(np.log10((word + 0.5) / (n + 0.5 * (v + 1))), first)
-            full = np.add.reduceat(np.log10(np.maximum(model.probability(context, pair, word), floor or 1e-300)), first)
+            full = np.add.reduceat(np.log10(np.maximum(model.probability(*counts), floor or 1e-300)), first)
             known = np.add.reduceat((word > 0).astype(np.int64), first)
             ids = np.frombuffer(row["ids"], np.int64).reshape(-1, 2)
             held = row["role"] == HELD_OUT

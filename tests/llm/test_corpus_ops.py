@@ -116,9 +116,60 @@ def test_probabilities_add_up():
     weights = ngram_lm.expectation_maximisation(np.array([[b, 10.0, 0.2, 0.05, 0.01] for b in range(6)]))
     assert np.allclose(weights.sum(1), 1) and weights[0, 0] == 0
     count, pairs = {"a": 6, "b": 3, "c": 1}, {("a", "a"): 2, ("a", "b"): 3, ("a", "c"): 1}
-    mix = ngram_lm.Mixture(10, 3, weights)
-    p = mix.probability(np.full(4, 6), np.array([pairs.get(("a", t), 0) for t in "abcd"]), np.array([count.get(t, 0) for t in "abcd"]))
-    assert math.isclose(p.sum(), 1.0)
+    third = ngram_lm.third_weights(np.array([[b, 10.0, 0.5, 0.1] for b in range(1, 6)]))
+    assert third[0] == 0 and ((0 <= third) & (third <= 1)).all()
+    mix = ngram_lm.Mixture(10, 3, weights, third)
+    low = [np.full(4, 6), np.array([pairs.get(("a", t), 0) for t in "abcd"]), np.array([count.get(t, 0) for t in "abcd"])]
+    assert math.isclose(mix.bigram(*low).sum(), 1.0)
+    assert math.isclose(mix.probability(np.full(4, 2), np.array([0, 2, 0, 0]), *low).sum(), 1.0)
+    assert math.isclose(mix.probability(np.zeros(4, int), np.zeros(4, int), *low).sum(), 1.0)
+
+
+def plain_scores(rows, learn, teach):
+    """The same model by dictionaries of words, pairs and triples, without hashes, chunks or buckets of hashes."""
+    split = lambda t: [*(t or "").encode().lower().split(), None]
+
+    def counts(keep):
+        one, two, three, docs = Counter(), Counter(), Counter(), 0
+        for i, t in rows:
+            if keep(i):
+                w, docs = split(t), docs + 1
+                one.update(w)
+                two.update(zip(["<s>", *w[:-1]], w, strict=True))
+                three.update(zip(["<s>", *w[:-2]], w[:-1], w[1:], strict=True) if len(w) > 1 else [])
+        return one, two, three, docs
+
+    def tokens(t, c):
+        one, two, three, docs = c
+        w = split(t)
+        for j, x in enumerate(w):
+            v = w[j - 1] if j else "<s>"
+            u = (w[j - 2] if j > 1 else "<s>") if j else None
+            yield (two[u, v] if j else 0), (three[u, v, x] if j else 0), (one[v] if j else docs), two[v, x], one[x]
+
+    whole, fewer = counts(learn), counts(lambda i: learn(i) and not teach(i))
+    n, v = sum(whole[0].values()), len(whole[0])
+    step = lambda x: round(math.log(x) * ngram_lm.CELL) if x > 0 else None
+    value = lambda s: 0.0 if s is None else math.exp(s / ngram_lm.CELL)
+    bucket = lambda c: 0 if not c else min(int(math.log2(c)) + 1, ngram_lm.BUCKETS - 1)
+    seen = [x for i, t in rows if learn(i) and teach(i) for x in tokens(t, fewer)]
+    low = Counter((bucket(c), step(p / c if c else 0), step(x / n)) for _, _, c, p, x in seen)
+    w = ngram_lm.expectation_maximisation(np.array([(b, k, value(p), value(x), 1 / (v + 1)) for (b, p, x), k in low.items()], float).reshape(-1, 5))
+    bigram = lambda c, p, x: float(w[bucket(c)] @ np.array([p / c if c else 0.0, x / n, 1 / (v + 1)]))
+    high = Counter((bucket(c2), step(t3 / c2), step(bigram(c, p, x))) for c2, t3, c, p, x in seen if c2)
+    m = ngram_lm.third_weights(np.array([(b, k, value(t3), value(p)) for (b, t3, p), k in high.items()], float).reshape(-1, 4))
+    mix = lambda c2, t3, c, p, x: m[bucket(c2)] * (t3 / c2 if c2 else 0.0) + (1 - m[bucket(c2)]) * bigram(c, p, x)
+    return [(i, sum(math.log10(mix(*x)) for x in tokens(t, whole))) for i, t in rows]
+
+
+def test_model_scores_against_a_plain_model(spark, monkeypatch):
+    monkeypatch.setattr(ngram_lm, "BUCKET", 300)
+    rows, crc = corpus(), lambda i: zlib.crc32(b"" if i is None else str(i).encode())
+    got = ngram_lm.score(make(spark, rows), F.pmod(ngram_lm.id_crc("doc_id"), F.lit(5)) == 1, F.pmod(ngram_lm.id_crc("doc_id"), F.lit(5)) == 2).collect()
+    want = plain_scores(rows, lambda i: crc(i) % 5 != 1, lambda i: crc(i) % 5 == 2)
+    key = lambda x: (x[0] is None, x[0] or 0, round(x[1], 6))
+    for (i, a), (j, b) in zip(sorted(((x.doc_id, x.score) for x in got), key=key), sorted(want, key=key), strict=True):
+        assert i == j and math.isclose(a, b, rel_tol=1e-6)
 
 
 def test_scores_with_nothing_to_learn(spark):
