@@ -84,12 +84,21 @@ class Shard:
         self.terms = np.split(at[order], np.cumsum(np.bincount(self.doc, minlength=n))[:-1])
 
     def scores(self, seed: int) -> np.ndarray:
-        """BM25 of every left-over for the distinct ids of the seed."""
+        """BM25 of every left-over that is still listed for the distinct ids of the seed; the others have 0."""
         terms = self.terms[seed]
         counts = self.df[terms]
-        at = np.repeat(self.first[terms] - np.r_[0, np.cumsum(counts)[:-1]], counts) + np.arange(counts.sum())
+        ends = np.cumsum(counts)
+        at = np.repeat(self.first[terms] - ends + counts, counts) + np.arange(ends[-1] if len(ends) else 0)
         return np.bincount(self.doc[at], weights=self.weight[at], minlength=self.n)
 
+    def forget(self, unused: np.ndarray) -> None:
+        """Strikes used left-overs from the lists; the weights of the others stay."""
+        keep = unused[self.doc]
+        upto = np.r_[0, np.cumsum(keep)]
+        edges = upto[np.r_[self.first, len(self.doc)]]
+        self.first, self.df = edges[:-1], np.diff(edges)
+        self.doc, self.weight = self.doc[keep], self.weight[keep]
+
 
 class Packer:
     """Fills windows from a stream of left-overs (doc_id, start, doc_tokens, ids)."""
@@ -122,13 +131,18 @@ class Packer:
             return
         shard = Shard([p[3] for p in pieces])
         unused = np.ones(len(pieces), bool)
+        listed = len(pieces)
         filled, room = self.open, self.window - sum(len(p[3]) for p in self.open)
         self.open = []
         for seed in range(len(pieces)):
             if not unused[seed]:
                 continue
-            ranked = np.argsort(-shard.scores(seed), kind="stable")
-            for i in [seed, *ranked[unused[ranked] & (ranked != seed)]]:
+            left = np.flatnonzero(unused)
+            if len(left) < 0.7 * listed:
+                shard.forget(unused)
+                listed = len(left)
+            ranked = left[np.argsort(-shard.scores(seed)[left], kind="stable")]
+            for i in [seed, *ranked[ranked != seed].tolist()]:
                 doc_id, start, tokens, ids = pieces[i]
                 filled.append((doc_id, start, tokens, ids[:room]))
                 if len(ids) > room:
