@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.llm.common import drop_path, free_shuffles, gram_hashes, mapped, materialize, mix64, shared_dir, table, word_hashes, word_spans
+from loomspark.llm.common import drop_path, free_shuffles, gram_hashes, mapped, mix64, shared_dir, table, word_hashes, word_spans
 
 WINDOW = 20
 ANCHOR = 6
@@ -398,8 +398,7 @@ def deduplicate(docs: DataFrame, batches: int = 3, window: int = WINDOW, anchor:
     asked = own.join(index.candidates(), "did").select("did", "mark", "text", "places")
     found = asked.transform(mapped, _window_rows(buckets, window, anchor), _ANSWER).groupBy("bucket").applyInArrow(_settle, _ANSWER)
     found = found.select("chunk", "ids", "places").groupBy("chunk").applyInArrow(_gather, _STARTS)
-    # written, so that the windows' shuffles are gone before texts travel again
-    starts = materialize(found.groupBy("did").agg(F.collect_list(F.struct("mark", "places")).alias("found")), f"{path}/starts")
+    starts = found.groupBy("did").agg(F.collect_list(F.struct("mark", "places")).alias("found"))
     whole = own.join(starts, "did", "left").select("doc_id", "mark", "text", "found")
     return whole.transform(mapped, _kept(window, with_text), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
 
