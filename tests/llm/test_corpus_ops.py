@@ -251,6 +251,21 @@ def test_neighbours_against_brute_force(spark, monkeypatch):
     assert hits >= 0.95 * total
 
 
+def test_neighbours_at_the_registered_values(spark):
+    """More rows than a block of 8,192, of which 512 are looked at again: recall of the five nearest."""
+    r = np.random.default_rng(12)
+    x = (r.normal(size=(40, 32))[r.integers(0, 40, 18_000)] + 0.9 * r.normal(size=(18_000, 32))).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = ann.search(df, F.col("vec_id") % 150 == 0).collect()
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    hits = 0
+    for q in range(0, 18_000, 150):
+        s = unit @ unit[q]
+        s[q] = -9
+        hits += len(set(np.argsort(-s, kind="stable")[:5].tolist()) & {y.vec_id for y in got if y.query_id == q})
+    assert hits >= 0.9 * 5 * 120
+
+
 def test_neighbours_of_few_rows(spark):
     schema = "vec_id long, embedding array<float>"
     assert ann.search(spark.createDataFrame([], schema), F.lit(True)).count() == 0
