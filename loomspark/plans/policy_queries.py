@@ -131,14 +131,6 @@ def path_affinity(spark: SparkSession, d: str) -> DataFrame:
     return retrieve.affinity(items, 2).select("a", "b", F.round("score", 9).alias("score"))
 
 
-def prefix_longest_match(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "part", "p_partkey", "p_type")
-    prefixes = p.select(F.expr("left(p_type, 2)").alias("prefix")).union(p.select(F.expr("left(p_type, 4)").alias("prefix"))).distinct()
-    tried = p.select("p_partkey", "p_type", F.explode(F.sequence(F.lit(1), F.length("p_type"))).alias("n")).select("p_partkey", "p_type", "n", F.expr("left(p_type, n)").alias("prefix"))
-    met = tried.join(prefixes, "prefix").where("n < length(p_type)")
-    return met.groupBy("p_partkey").agg(F.max_by("prefix", "n").alias("prefix"))
-
-
 def tiered_recall(spark: SparkSession, d: str) -> DataFrame:
     b = day_bursts(touches(spark, d))
     entries = b.groupBy("session", "burst").agg(F.collect_set("path").alias("paths"), F.max("pos").alias("recency"), F.count_if(F.col("kind") == "error").alias("errors"), F.max(F.when(F.col("kind") == "mention", F.col("path"))).alias("claim"))
@@ -176,14 +168,6 @@ def watch_outcomes(spark: SparkSession, d: str) -> DataFrame:
 
 
 # receipts and audits
-def lane_aggregates(spark: SparkSession, d: str) -> DataFrame:
-    t = touches(spark, d).withColumn("lane", F.when(F.col("kind").isin("read", "mention"), "look").otherwise("act"))
-    w = W.partitionBy("session").orderBy("pos")
-    marked = segment.islands(t.withColumn("l", F.lag("lane").over(w)), ["session"], ["pos"], F.col("l").isNull() | (F.col("l") != F.col("lane")), "run")
-    g = marked.where("lane = 'look'").groupBy("session", "run").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("path").alias("paths"), F.min("ms").alias("first_ms"), F.max("ms").alias("last_ms"), F.count_if(F.col("kind") == "mention").alias("mentions"))
-    return g.where("n >= 2")
-
-
 def newest_per_target(spark: SparkSession, d: str) -> DataFrame:
     t = touches(spark, d).where("kind in ('edit', 'error')")
     w = W.partitionBy("session", "path").orderBy(F.desc("pos"))
@@ -199,14 +183,6 @@ def band_audit(spark: SparkSession, d: str) -> DataFrame:
     return p.select("session", "burst", F.explode(issues).alias("issue"))
 
 
-def authority(spark: SparkSession, d: str) -> DataFrame:
-    o = table(spark, d, "orders", "o_orderkey", "o_orderstatus", "o_orderpriority", "o_custkey")
-    live = F.when(F.col("o_orderstatus") == "F", "complete")
-    receipt = F.when(F.col("o_orderpriority") == "1-URGENT", "blocked")
-    prose = F.when(F.col("o_custkey") % 3 == 0, "pending")
-    return o.select("o_orderkey", F.coalesce(live, receipt, prose, F.lit("unknown")).alias("state"), F.when(live.isNotNull(), "live").when(receipt.isNotNull(), "receipt").when(prose.isNotNull(), "prose").otherwise("none").alias("source"), (live.isNotNull() & receipt.isNotNull()).alias("disagrees"))
-
-
 def rail_progress(spark: SparkSession, d: str) -> DataFrame:
     line = table(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus")
     status = F.when(F.col("l_linestatus") == "F", F.when(F.col("l_returnflag") == "A", "skipped").otherwise("done")).when(F.col("l_returnflag") == "R", "blocked").otherwise("pending")
@@ -224,13 +200,6 @@ def rail_sprint(spark: SparkSession, d: str) -> DataFrame:
     return line.select("l_orderkey", "l_linenumber", n.alias("n")).where("n <= 3").select("l_orderkey", "l_linenumber", F.when(F.col("n") == 1, "active").otherwise("reserved").alias("status"))
 
 
-def validation_freshness(spark: SparkSession, d: str) -> DataFrame:
-    t = touches(spark, d)
-    w = W.partitionBy("session", "path").orderBy("pos").rowsBetween(1, W.unboundedFollowing)
-    v = t.withColumn("edited_after", F.count_if(F.col("kind") == "edit").over(w)).where("kind = 'read'")
-    return v.groupBy("session").agg(F.count_if(F.expr("edited_after = 0")).alias("fresh"), F.count_if(F.expr("edited_after > 0")).alias("stale"))
-
-
 def reconcile_outcomes(spark: SparkSession, d: str) -> DataFrame:
     line = table(spark, d, "lineitem", "l_orderkey", "l_linestatus", "l_returnflag")
     seen = line.select("l_orderkey", F.when(F.col("l_returnflag") != "N", F.col("l_linestatus")).alias("outcome"))
@@ -325,7 +294,6 @@ QUERIES = {
       SELECT o.session, o.g, sum(CASE r.kind WHEN 'edit' THEN 4 WHEN 'mention' THEN 3 ELSE 1 END * CASE WHEN r.g >= fold THEN 2 ELSE 1 END)::BIGINT AS score FROM own o JOIN t r ON r.session = o.session AND r.path = o.path AND r.g > o.g JOIN live l ON l.session = o.session WHERE o.g < fold GROUP BY ALL"""),
     "nearest_asof": (nearest_asof, f"""{T}, p AS (SELECT a.event_id AS id, b.event_id AS other, abs(a.ms - b.ms) AS distance, row_number() OVER (PARTITION BY a.event_id ORDER BY abs(a.ms - b.ms), b.ms, b.event_id) AS n FROM touches a JOIN touches b ON a.session = b.session WHERE a.kind = 'edit' AND b.kind = 'mention' AND abs(a.ms - b.ms) <= 43200000) SELECT id, other, distance FROM p WHERE n = 1"""),
     "path_affinity": (path_affinity, "WITH s AS (SELECT DISTINCT l_orderkey AS k, l_partkey % 200 AS i FROM lineitem), c AS (SELECT x.i AS a, y.i AS b, count(*) AS n FROM s x JOIN s y ON x.k = y.k AND x.i <> y.i GROUP BY ALL) SELECT a, b, round(n / (SELECT max(n) FROM c), 9) AS score FROM c WHERE n >= 2"),
-    "prefix_longest_match": (prefix_longest_match, "WITH w AS (SELECT p_partkey, p_type FROM part), x AS (SELECT DISTINCT left(p_type, 2) AS prefix FROM w UNION SELECT DISTINCT left(p_type, 4) FROM w) SELECT p_partkey, arg_max(prefix, len(prefix)) AS prefix FROM w JOIN x ON starts_with(p_type, prefix) AND len(prefix) < len(p_type) GROUP BY p_partkey"),
     "tiered_recall": (tiered_recall, f"""{B}, e AS (SELECT session, burst, list(DISTINCT path) AS paths, max(pos) AS recency, count(*) FILTER (kind = 'error') AS errors, max(path) FILTER (kind = 'mention') AS claim FROM bursts GROUP BY ALL),
       a AS (SELECT session, arg_max(path, pos) AS now FROM touches GROUP BY session),
       p AS (SELECT e.*, CASE WHEN list_contains(paths, now) THEN 0 WHEN split_part(claim, '.', 1) LIKE '%1' THEN 1 WHEN errors >= 2 THEN 2 END AS tier FROM e JOIN a USING (session)),
@@ -334,19 +302,13 @@ QUERIES = {
     "explicit_range_recall": (explicit_range_recall, f"{B}, e AS (SELECT session, burst, min(pos) AS start, max(pos) AS stop FROM bursts GROUP BY ALL) SELECT t.session, t.pos AS lo, count(*) AS n, min(burst) AS first_burst FROM touches t JOIN e ON e.session = t.session AND start <= t.pos + 4 AND stop >= t.pos GROUP BY ALL"),
     "watch_outcomes": (watch_outcomes, f"""{T}, g AS (SELECT c.event_id, min(t.pos - c.pos) FILTER (t.kind = 'edit') AS e, min(t.pos - c.pos) FILTER (t.kind = 'read') AS r, count(*) AS n FROM touches c JOIN touches t ON t.session = c.session AND t.pos BETWEEN c.pos + 1 AND c.pos + 6 WHERE c.kind = 'mention' GROUP BY c.event_id)
       SELECT event_id, CASE WHEN e IS NOT NULL THEN 'edited' WHEN r IS NOT NULL THEN 'echoed' WHEN n < 6 THEN 'watching' ELSE 'expired' END AS outcome, coalesce(e, r) AS distance FROM g"""),
-    "lane_aggregates": (lane_aggregates, f"""{T}, l AS (SELECT *, CASE WHEN kind IN ('read', 'mention') THEN 'look' ELSE 'act' END AS lane FROM touches), b AS (SELECT *, lag(lane) OVER (PARTITION BY session ORDER BY pos) AS p FROM l),
-      r AS (SELECT *, sum((p IS NULL OR p <> lane)::INT) OVER (PARTITION BY session ORDER BY pos ROWS UNBOUNDED PRECEDING)::BIGINT AS run FROM b)
-      SELECT session, run, count(*) AS n, count(DISTINCT path) AS paths, min(ms) AS first_ms, max(ms) AS last_ms, count(*) FILTER (kind = 'mention') AS mentions FROM r WHERE lane = 'look' GROUP BY ALL HAVING count(*) >= 2"""),
     "newest_per_target": (newest_per_target, f"{T}, r AS (SELECT kind, row_number() OVER (PARTITION BY session, path ORDER BY pos DESC) AS n FROM touches WHERE kind IN ('edit', 'error')) SELECT kind, count(*) FILTER (n = 1) AS standing, count(*) FILTER (n > 1) AS superseded FROM r GROUP BY kind"),
     "band_audit": (band_audit, f"""{B}, g AS (SELECT session, burst, min(pos) + CASE WHEN burst % 5 = 0 THEN 1 WHEN burst % 7 = 0 THEN -1 ELSE 0 END AS start, max(pos) + 1 AS stop FROM bursts GROUP BY session, burst), p AS (SELECT *, lag(stop) OVER (PARTITION BY session ORDER BY burst) AS want FROM g)
       SELECT session, burst, 'gap' AS issue FROM p WHERE start > want UNION ALL SELECT session, burst, 'overlap' FROM p WHERE start < want UNION ALL SELECT session, burst, 'empty' FROM p WHERE stop <= start"""),
-    "authority": (authority, """WITH a AS (SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'complete' END AS l, CASE WHEN o_orderpriority = '1-URGENT' THEN 'blocked' END AS r, CASE WHEN o_custkey % 3 = 0 THEN 'pending' END AS p FROM orders)
-      SELECT o_orderkey, coalesce(l, r, p, 'unknown') AS state, CASE WHEN l IS NOT NULL THEN 'live' WHEN r IS NOT NULL THEN 'receipt' WHEN p IS NOT NULL THEN 'prose' ELSE 'none' END AS source, l IS NOT NULL AND r IS NOT NULL AS disagrees FROM a"""),
     "rail_progress": (rail_progress, """WITH s AS (SELECT *, CASE WHEN l_linestatus = 'F' THEN CASE WHEN l_returnflag = 'A' THEN 'skipped' ELSE 'done' END WHEN l_returnflag = 'R' THEN 'blocked' ELSE 'pending' END AS status FROM lineitem)
       SELECT l_orderkey, count(*) FILTER (status = 'done') AS done, count(*) FILTER (status = 'blocked') AS blocked, count(*) FILTER (status = 'pending') AS pending, floor(count(*) FILTER (status IN ('done', 'skipped')) * 100 / count(*) + 0.5)::BIGINT AS percent,
       min(l_linenumber) FILTER (status = 'blocked') AS blocking_step, min(l_linenumber) FILTER (status = 'pending') AS next_step FROM s GROUP BY l_orderkey"""),
     "rail_sprint": (rail_sprint, "SELECT l_orderkey, l_linenumber, CASE WHEN n = 1 THEN 'active' ELSE 'reserved' END AS status FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS n FROM lineitem WHERE l_linestatus = 'O') WHERE n <= 3"),
-    "validation_freshness": (validation_freshness, f"{T}, v AS (SELECT *, count(*) FILTER (kind = 'edit') OVER (PARTITION BY session, path ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS e FROM touches) SELECT session, count(*) FILTER (e = 0) AS fresh, count(*) FILTER (e > 0) AS stale FROM v WHERE kind = 'read' GROUP BY session"),
     "reconcile_outcomes": (reconcile_outcomes, "WITH g AS (SELECT l_orderkey, list(DISTINCT l_linestatus) FILTER (l_returnflag <> 'N') AS o FROM lineitem GROUP BY l_orderkey) SELECT l_orderkey, CASE WHEN len(o) = 1 THEN o[1] ELSE 'unknown' END AS outcome, coalesce(len(o), 0) > 1 AS conflict FROM g"),
     "wilson_by_stratum": (wilson_by_stratum, f"WITH g AS (SELECT o_orderpriority, count(*) FILTER (o_orderstatus = 'F') AS k, count(*) AS n FROM orders GROUP BY ALL) SELECT o_orderpriority, k, n, round(100 * (k / n), 9) AS pct, round({WILSON_SQL.format('-')}, 9) AS lo, round({WILSON_SQL.format('+')}, 9) AS hi FROM g"),
     "kappa_labels": (kappa_labels, "WITH l AS (SELECT quality AS a, 1 - toxic AS b FROM labels), t AS (SELECT count(*) AS n, count(*) FILTER (a = b) AS agree FROM l), e AS (SELECT sum(x.c * y.c)::BIGINT AS cross_ FROM (SELECT a, count(*) AS c FROM l GROUP BY a) x JOIN (SELECT b, count(*) AS c FROM l GROUP BY b) y ON x.a = y.b), r AS (SELECT n, agree / n AS o, cross_ / (n * n) AS e FROM t, e) SELECT n, round(o, 9) AS observed, round(e, 9) AS expected, round((o - e) / (1 - e), 9) AS kappa FROM r"),

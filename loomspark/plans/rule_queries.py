@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from loomspark.functions import context_budget as cb
 from loomspark.functions import literals as lt
-from loomspark.functions import rules
+from loomspark.functions import models, rules
 from loomspark.sources.bindings import messages, table
 
 ENGINES = [*cb.ENGINE_WINDOWS, "", "other"]
@@ -152,7 +152,25 @@ TOOL_INPUTS = {"tool": TOOL, "action": DIVIDED_ACTION, "category": DIVIDED_CATEG
 RULES["historical_claims"] = ("orders", ["o_orderkey", "o_custkey", "o_orderpriority"], CLAIM, lt.CLAIMS, CLAIM_COLUMNS)
 
 QUERIES = {name: (_asked(name), _sql(name)) for name in RULES}
+MODEL = _pick(["claude-sonnet-4-6", "Claude-Opus-4-9", "gpt-5.4-mini", " gpt-5.6-sol ", "gpt-5.5-x", "codex-5.4", "GEMINI-2.5-pro-x", "minimax-M3-beta", "grok-9", "", "o3-pro-2", "qwen3.6-flash", "gpt-4o-mini", "glm-5v"], "o_orderkey")
+MODEL_INPUT = {"id": "o_orderkey", "model": f"coalesce({MODEL}, '')", "engine": _pick(["", "claude", "codex-api", "openai", "Grok", "gemini", "nobody"], "o_custkey")}
+RANKS = dict(zip(models.AUTHORITY, ("o_orderkey % 7 = 1", "o_orderkey % 3 = 1", "o_custkey % 5 = 2", "o_custkey % 2 = 0", "o_orderkey % 11 = 4", "o_custkey % 3 = 0", "o_orderkey % 2 = 0", "o_custkey % 7 = 1"), strict=True))
+
+
+def model_windows(spark: SparkSession, d: str) -> DataFrame:
+    asked = table(spark, d, "orders", "o_orderkey", "o_custkey").selectExpr(*(f"{e} AS {c}" for c, e in MODEL_INPUT.items()))
+    return models.model_windows(asked).select("id", "window")
+
+
+def authority(spark: SparkSession, d: str) -> DataFrame:
+    winner, below = models.authority({r: F.expr(e) for r, e in RANKS.items()})
+    return table(spark, d, "orders", "o_orderkey", "o_custkey").select(F.col("o_orderkey").alias("id"), winner.alias("winner"), below.alias("outranks"))
+
+
+AUTHORITY_SQL = "WITH l AS (SELECT o_orderkey AS id, list_filter([" + ", ".join(f"CASE WHEN {e} THEN '{r}' END" for r, e in RANKS.items()) + "], lambda x: x IS NOT NULL) AS p FROM orders) SELECT id, p[1] AS winner, coalesce(array_to_string(p[2:], ' > '), '') AS outranks FROM l"
 QUERIES |= {
+    "model_windows": (model_windows, "WITH a AS (SELECT " + ", ".join(f"{e} AS {c}" for c, e in MODEL_INPUT.items()) + f" FROM orders) SELECT id, {models.model_windows_sql()}::BIGINT AS window FROM a".replace(" AS window", ' AS "window"')),
+    "authority": (authority, AUTHORITY_SQL),
     "touch_paths": (_over(_events({"raw": RAW}), lt.PATHS, PATH_COLUMNS), rules.query(_from_events({"raw": RAW}), lt.PATHS, PATH_COLUMNS)),
     "literal_worth": (_over(_words, lt.LITERALS, LITERAL_COLUMNS), rules.query(WORDS_SQL, lt.LITERALS, LITERAL_COLUMNS)),
     "tool_roles": (_over(_events(TOOL_INPUTS), lt.TOOLS, TOOL_COLUMNS), rules.query(_from_events(TOOL_INPUTS), lt.TOOLS, TOOL_COLUMNS)),
