@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomspark.functions import text as tx
-from loomspark.operators import memory, retrieve
+from loomspark.operators import memory, recall_plan, retrieve
 from loomspark.plans.rule_queries import _pick
 from loomspark.plans.text_queries import FREQ_SQL, TOK
 from loomspark.sources.bindings import TOUCHES_SQL, messages, table, touches
@@ -143,3 +143,41 @@ QUERIES = {
     "coordinate_ranks": (coordinate_ranks, RANK_SQL),
     "fitted_lines": (fitted_lines, FITTED_SQL),
 }
+
+
+def _entries(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Eight touches of a session are an entry; its newest eight touches are the signals of the pass."""
+    t = touches(spark, d).withColumn("g", F.floor(F.col("pos") / 8))
+    pick = lambda kind: F.array_sort(F.collect_set(F.when(F.col("kind") == kind, F.col("path"))))
+    e = t.groupBy("session", "g").agg(F.array_sort(F.collect_set(F.when(F.col("kind") != "error", F.col("path")))).alias("paths"), pick("mention").alias("tokens"), pick("error").alias("errors"), F.max("pos").alias("recency"), F.min("event_id").alias("e"))
+    entries = e.selectExpr("session", "concat('e', e) AS id", "CASE e % 4 WHEN 0 THEN 'spool' WHEN 1 THEN 'tool' ELSE 'turn' END AS kind", "recency", "CASE WHEN e % 3 = 0 THEN array() ELSE paths END AS paths", "tokens", "errors", "e % 9 = 0 AS correction", "e")
+    last = t.withColumn("last", F.max("g").over(W.partitionBy("session"))).where("g = last")
+    s = last.groupBy("session").agg(pick("edit").alias("touched"), pick("read").alias("claimed"), pick("mention").alias("tokens"), pick("error").alias("errors"), F.max("pos").alias("pass"))
+    return entries, s.withColumn("level", F.element_at(F.array(*map(F.lit, ("healthy", "warning", "critical", "auto_compact"))), (F.col("session") % 4 + 1).cast("int")))
+
+
+def tiered_recall(spark: SparkSession, d: str) -> DataFrame:
+    entries, signals = _entries(spark, d)
+    resident = entries.where("e % 5 = 0").selectExpr("session", "id", "e % 2 = 0 AS card", "recency + 40 AS until")
+    paths = entries.where("e % 7 = 0").select("session", F.explode("paths").alias("path"), (F.col("recency") + 30).alias("until")).groupBy("session", "path").agg(F.max("until").alias("until"))
+    dismissed = entries.where("e % 11 = 0").selectExpr("session", "id", "recency + 50 AS until")
+    return recall_plan.plan(entries.drop("e"), signals, resident, paths, dismissed)
+
+
+_SET = "coalesce(list_sort(list_distinct(list(path) FILTER ({}))), [])"
+PLAN_SQL = f"""WITH RECURSIVE {TOUCHES_SQL}, t AS (SELECT *, pos // 8 AS g, max(pos // 8) OVER (PARTITION BY session) AS last FROM touches),
+e AS (SELECT session, g, min(event_id) AS e, max(pos) AS recency, {_SET.format("kind <> 'error'")} AS p, {_SET.format("kind = 'mention'")} AS tokens, {_SET.format("kind = 'error'")} AS errors FROM t GROUP BY session, g),
+n AS (SELECT *, 'e' || e AS id, CASE e % 4 WHEN 0 THEN 'spool' WHEN 1 THEN 'tool' ELSE 'turn' END AS kind, CASE WHEN e % 3 = 0 THEN [] ELSE p END AS paths, e % 9 = 0 AS correction FROM e),
+s AS (SELECT session, max(pos) AS pass, {_SET.format("kind = 'edit'")} AS touched, {_SET.format("kind = 'read'")} AS claimed, {_SET.format("kind = 'mention'")} AS st, {_SET.format("kind = 'error'")} AS se FROM t WHERE g = last GROUP BY session),
+q AS (SELECT n.*, pass, list_sort(list_intersect(paths, touched))[1] AS a, list_sort(list_intersect(paths, claimed))[1] AS b, CASE WHEN kind = 'spool' THEN list_sort(list_intersect(errors, se))[1] END AS c, CASE WHEN kind <> 'tool' THEN list_sort(list_intersect(tokens, st))[1] END AS k FROM n JOIN s USING (session)),
+m AS (SELECT *, CASE WHEN a IS NOT NULL THEN 0 WHEN b IS NOT NULL THEN 1 WHEN c IS NOT NULL OR k IS NOT NULL THEN 2 END AS tier, coalesce(a, b, 'error:' || c, 'verbatim:' || k) AS matched FROM q),
+r AS (SELECT session, path, max(recency + 30) AS until FROM (SELECT session, recency, unnest(paths) AS path FROM n WHERE e % 7 = 0) GROUP BY ALL),
+w AS (SELECT m.*, e % 5 = 0 AND pass < recency + 40 AS here, coalesce(pass < r.until, FALSE) AS there FROM m LEFT JOIN r ON r.session = m.session AND r.path = m.matched WHERE tier IS NOT NULL),
+o AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY tier, correction DESC, recency DESC, id) AS place, min(tier) OVER (PARTITION BY session) AS best FROM w WHERE NOT CASE WHEN correction THEN here ELSE (e % 11 = 0 AND pass < recency + 50) OR (there AND tier > 0) OR (here AND e % 2 = 0) END),
+u AS (SELECT *, CASE session % 4 WHEN 0 THEN 3 WHEN 1 THEN 3 WHEN 2 THEN 1 ELSE CASE WHEN best = 0 THEN 1 ELSE 0 END END AS cards FROM o),
+f AS (SELECT session, 0::BIGINT AS place, 0 AS c, 0 AS h, 'none' AS how FROM (SELECT DISTINCT session FROM u) UNION ALL
+SELECT f.session, u.place, f.c + (NOT u.correction AND u.kind <> 'spool' AND f.c < u.cards)::INT, f.h + (u.correction OR (NOT (u.kind <> 'spool' AND f.c < u.cards) AND f.h < 4))::INT,
+CASE WHEN NOT u.correction AND u.kind <> 'spool' AND f.c < u.cards THEN 'card' WHEN u.correction OR f.h < 4 THEN 'hint' ELSE 'none' END FROM f JOIN u ON u.session = f.session AND u.place = f.place + 1)
+SELECT u.session, id, tier, matched, u.place, how AS render FROM u JOIN f ON f.session = u.session AND f.place = u.place WHERE how <> 'none'"""
+
+QUERIES["tiered_recall"] = (tiered_recall, PLAN_SQL)

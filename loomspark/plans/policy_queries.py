@@ -131,17 +131,6 @@ def path_affinity(spark: SparkSession, d: str) -> DataFrame:
     return retrieve.affinity(items, 2).select("a", "b", F.round("score", 9).alias("score"))
 
 
-def tiered_recall(spark: SparkSession, d: str) -> DataFrame:
-    b = day_bursts(touches(spark, d))
-    entries = b.groupBy("session", "burst").agg(F.collect_set("path").alias("paths"), F.max("pos").alias("recency"), F.count_if(F.col("kind") == "error").alias("errors"), F.max(F.when(F.col("kind") == "mention", F.col("path"))).alias("claim"))
-    asked = touches(spark, d).groupBy("session").agg(F.max_by("path", "pos").alias("now"))
-    tier = F.when(F.array_contains("paths", F.col("now")), 0).when(F.substring_index("claim", ".", 1).endswith("1"), 1).when(F.col("errors") >= 2, 2)
-    plan = entries.join(asked, "session").withColumn("tier", tier).where("tier is not null")
-    order = W.partitionBy("session").orderBy("tier", F.desc("recency"), "burst")
-    ranked = plan.withColumn("rank", F.row_number().over(order))
-    return ranked.select("session", "burst", "tier", "rank", F.when(F.col("rank") <= 3, "card").otherwise("hint").alias("render"))
-
-
 def recall_utility(spark: SparkSession, d: str) -> DataFrame:
     t = touches(spark, d).where("kind in ('edit', 'read')")
     last = retrieve.best_of(t, ["session", "path", "kind"], [F.desc("pos")])
@@ -294,10 +283,6 @@ QUERIES = {
       SELECT o.session, o.g, sum(CASE r.kind WHEN 'edit' THEN 4 WHEN 'mention' THEN 3 ELSE 1 END * CASE WHEN r.g >= fold THEN 2 ELSE 1 END)::BIGINT AS score FROM own o JOIN t r ON r.session = o.session AND r.path = o.path AND r.g > o.g JOIN live l ON l.session = o.session WHERE o.g < fold GROUP BY ALL"""),
     "nearest_asof": (nearest_asof, f"""{T}, p AS (SELECT a.event_id AS id, b.event_id AS other, abs(a.ms - b.ms) AS distance, row_number() OVER (PARTITION BY a.event_id ORDER BY abs(a.ms - b.ms), b.ms, b.event_id) AS n FROM touches a JOIN touches b ON a.session = b.session WHERE a.kind = 'edit' AND b.kind = 'mention' AND abs(a.ms - b.ms) <= 43200000) SELECT id, other, distance FROM p WHERE n = 1"""),
     "path_affinity": (path_affinity, "WITH s AS (SELECT DISTINCT l_orderkey AS k, l_partkey % 200 AS i FROM lineitem), c AS (SELECT x.i AS a, y.i AS b, count(*) AS n FROM s x JOIN s y ON x.k = y.k AND x.i <> y.i GROUP BY ALL) SELECT a, b, round(n / (SELECT max(n) FROM c), 9) AS score FROM c WHERE n >= 2"),
-    "tiered_recall": (tiered_recall, f"""{B}, e AS (SELECT session, burst, list(DISTINCT path) AS paths, max(pos) AS recency, count(*) FILTER (kind = 'error') AS errors, max(path) FILTER (kind = 'mention') AS claim FROM bursts GROUP BY ALL),
-      a AS (SELECT session, arg_max(path, pos) AS now FROM touches GROUP BY session),
-      p AS (SELECT e.*, CASE WHEN list_contains(paths, now) THEN 0 WHEN split_part(claim, '.', 1) LIKE '%1' THEN 1 WHEN errors >= 2 THEN 2 END AS tier FROM e JOIN a USING (session)),
-      r AS (SELECT session, burst, tier, row_number() OVER (PARTITION BY session ORDER BY tier, recency DESC, burst) AS rank FROM p WHERE tier IS NOT NULL) SELECT *, CASE WHEN rank <= 3 THEN 'card' ELSE 'hint' END AS render FROM r"""),
     "recall_utility": (recall_utility, f"{T}, l AS (SELECT DISTINCT session, path, kind FROM touches WHERE kind IN ('edit', 'read')), g AS (SELECT path, count(*) FILTER (kind = 'edit') AS edits, count(*) AS uses, round(avg(CASE WHEN kind = 'edit' THEN 1.0 ELSE 0.5 END), 9) AS utility FROM l GROUP BY path) SELECT *, row_number() OVER (ORDER BY utility DESC, uses DESC, edits DESC, path) AS rank FROM g"),
     "explicit_range_recall": (explicit_range_recall, f"{B}, e AS (SELECT session, burst, min(pos) AS start, max(pos) AS stop FROM bursts GROUP BY ALL) SELECT t.session, t.pos AS lo, count(*) AS n, min(burst) AS first_burst FROM touches t JOIN e ON e.session = t.session AND start <= t.pos + 4 AND stop >= t.pos GROUP BY ALL"),
     "watch_outcomes": (watch_outcomes, f"""{T}, g AS (SELECT c.event_id, min(t.pos - c.pos) FILTER (t.kind = 'edit') AS e, min(t.pos - c.pos) FILTER (t.kind = 'read') AS r, count(*) AS n FROM touches c JOIN touches t ON t.session = c.session AND t.pos BETWEEN c.pos + 1 AND c.pos + 6 WHERE c.kind = 'mention' GROUP BY c.event_id)
