@@ -395,7 +395,8 @@ def deduplicate(docs: DataFrame, batches: int = 3, window: int = WINDOW, anchor:
             part = part.where(F.col("did") <= hi)
         index.ingest(part)
     buckets = max(1, math.ceil(words / 3 / BUCKET))
-    asked = own.join(index.candidates(), "did").select("did", "mark", "text", "places")
+    # both joins take the same columns of the documents, so that their exchange is one
+    asked = own.join(index.candidates(), "did").select("doc_id", "did", "mark", "text", "places")
     found = asked.transform(mapped, _window_rows(buckets, window, anchor), _ANSWER).groupBy("bucket").applyInArrow(_settle, _ANSWER)
     found = found.select("chunk", "ids", "places").groupBy("chunk").applyInArrow(_gather, _STARTS)
     starts = found.groupBy("did").agg(F.collect_list(F.struct("mark", "places")).alias("found"))
