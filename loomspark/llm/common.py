@@ -6,6 +6,7 @@ import contextlib
 import ctypes
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -53,8 +54,14 @@ def drop_scratch(spark: SparkSession) -> None:
 
 
 def free_shuffles(spark: SparkSession) -> None:
-    """Lets Spark's cleaner delete the shuffles of queries that are over: it does when the driver collects garbage."""
-    spark.sparkContext._jvm.System.gc()
+    """Lets Spark's cleaner delete the shuffles of queries that are over: it does when the driver collects garbage.
+
+    Listeners hold a query that has just ended for a moment longer.
+    """
+    gc.collect()
+    for _ in range(2):
+        time.sleep(0.4)
+        spark.sparkContext._jvm.System.gc()
 
 
 def materialize(df: DataFrame, path: str) -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.llm.common import id_crc, mapped, materialize, mix64, shared_dir, table, word_hashes, word_spans
+from loomspark.llm.common import free_shuffles, id_crc, mapped, materialize, mix64, shared_dir, table, word_hashes, word_spans
 from loomspark.llm.substring import _parts
 
 CHUNK_BYTES = 12_000_000
@@ -306,7 +306,10 @@ def score(docs: DataFrame, held_out: F.Column, left_out: F.Column) -> DataFrame:
     def cells(gather) -> list[tuple]:
         """Cells of the documents left out: at most buckets times steps of two logarithms, whatever the input."""
         found = taught.applyInArrow(gather, "b int, x int, y int, n long").groupBy("b", "x", "y").agg(F.sum("n").alias("n"))
-        return [tuple(r) for r in found.collect()]
+        rows = [tuple(r) for r in found.collect()]
+        del found
+        free_shuffles(spark)
+        return rows
 
     value = lambda x: 0.0 if x <= -10_000 else math.exp(x / CELL)
     weights = expectation_maximisation(np.array([(b, c, value(x), value(y), 1 / (v + 1)) for b, x, y, c in cells(low)], float).reshape(-1, 5))
