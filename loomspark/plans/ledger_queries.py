@@ -212,6 +212,13 @@ def stash_service(spark: SparkSession, d: str) -> DataFrame:
     return replay.replay(rows, "session", "pos", zones.stash_step, zones.STASH)
 
 
+STASH_SQL = f"""WITH RECURSIVE {TOUCHES_SQL}, r AS (SELECT session::VARCHAR AS session, pos::BIGINT AS pos, CASE WHEN kind = 'error' THEN 1 + pos % 3 END AS cards, kind <> 'edit' AS gated, row_number() OVER (PARTITION BY session ORDER BY pos) AS n FROM touches),
+f AS (SELECT session, pos, n, 0 AS served, 'none' AS why, gated::INT AS since, CASE WHEN cards IS NOT NULL THEN pos END AS born, cards AS held FROM r WHERE n = 1 UNION ALL
+SELECT session, pos, n, CASE WHEN why = 'served' THEN CASE WHEN gated THEN 1 ELSE held END ELSE 0 END, why, CASE WHEN why = 'served' AND gated THEN 0 ELSE since END, CASE WHEN cards IS NOT NULL THEN pos WHEN spent THEN NULL ELSE born END, CASE WHEN cards IS NOT NULL THEN cards WHEN spent THEN NULL ELSE held END
+FROM (SELECT *, CASE WHEN NOT open THEN CASE WHEN held IS NULL THEN 'none' ELSE 'held' END WHEN held IS NULL THEN 'none' WHEN pos - born > {zones.STASH_AGE} THEN 'stale' ELSE 'served' END AS why, open AND held IS NOT NULL AS spent FROM (
+SELECT r.session, r.pos, r.n, r.cards, r.gated, f.since + r.gated::INT AS since, f.born, f.held, NOT r.gated OR f.since + 1 >= {zones.READ_RATE} AS open FROM f JOIN r ON r.session = f.session AND r.n = f.n + 1)))
+SELECT session, pos, served, why FROM f"""
+
 QUERIES = {
     "draft_outcomes": (draft_outcomes, DRAFT_SQL),
     "draft_merges": (draft_merges, MERGES_SQL),
@@ -229,5 +236,5 @@ coalesce(array_to_string(list_sort(list_distinct(list(target) FILTER (complete))
     "zone_served_by_target": (zone_served_by_target, f"WITH {ZONES_SQL} SELECT session, target, array_to_string(list_sort(list_distinct(list(chapter))), ',') AS chapters FROM z GROUP BY session, target"),
     "card_headers": (card_headers, HEADERS_SQL),
     "card_visibility": (card_visibility, VISIBLE_SQL),
-    "stash_service": (stash_service, ""),
+    "stash_service": (stash_service, STASH_SQL),
 }
