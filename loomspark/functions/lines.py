@@ -87,3 +87,23 @@ RECEIPT = [
     },
     {"verdict": "CASE WHEN stale = '' THEN 'safe_to_resume' ELSE 'stale' END"},
 ]
+
+#: From (edge, name, status, trace, events, claims, files, fact, hazards): a receipt's control block, and what is read back from one.
+CONTROL = [
+    {
+        "block": "'boundary=' || edge || ' · identity=' || coalesce(name, 'self') || ' · runtime=' || coalesce(status, 'unknown') || chr(10) || 'frontier=' || CASE WHEN trace IS NULL THEN 'unknown' ELSE trace || '@event#' || CAST(events AS VARCHAR(20)) END || chr(10) "
+        "|| 'active files · claims=' || coalesce(claims, 'none') || ' · recent edits=' || coalesce(files, 'none') || CASE WHEN fact IS NULL THEN '' ELSE chr(10) || 'validation=' || fact END || CASE WHEN hazards IS NULL THEN '' ELSE chr(10) || 'unresolved hazards: ' || hazards END",
+    },
+    {
+        "read_edge": r"regexp_extract(block, r'boundary=([a-z_]+)', 1)", "read_trace": r"nullif(regexp_extract(block, r'frontier=([^\n@]+)@event#', 1), '')", "read_events": r"CAST(nullif(regexp_extract(block, r'@event#([0-9]+)', 1), '') AS BIGINT)",
+        "read_claims": r"nullif(regexp_extract(block, r'claims=([^·\n]*[^·\n ])', 1), 'none')", "read_fact": r"nullif(regexp_extract(block, r'\nvalidation=([^\n]+)', 1), '')",
+    },
+    {"valid": "read_edge IN ('continuation', 'fresh_fork', 'brain_merge', 'resurrection') AND (read_events IS NULL OR read_events >= 0)", "same": "read_edge = edge AND coalesce(read_trace, '') = coalesce(trace, '') AND coalesce(read_events, -1) = CASE WHEN trace IS NULL THEN -1 ELSE events END AND coalesce(read_claims, '') = coalesce(claims, '') AND coalesce(read_fact, '') = coalesce(fact, '')"},
+]
+
+#: From (scope, instruction): the paths a step predicts, those of its scope first, each once whatever its case, at most 24.
+PREFETCH = [
+    {"found": r"joined(regexp_extract_all(coalesce(scope, ''), r'([A-Za-z0-9_.-]+(?:/[A-Za-z0-9_.-]+)+)', 1), regexp_extract_all(coalesce(instruction, ''), r'([A-Za-z0-9_.-]+(?:/[A-Za-z0-9_.-]+)+)', 1))"},
+    {"low": "first_distinct(transform(found, x -> lower(replace_all(x, r'[.,;:]+$', ''))))"},
+    {"predicted": "array_join(head(low, 24), ' ')"},
+]

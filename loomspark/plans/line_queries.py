@@ -117,3 +117,53 @@ QUERIES = {
     "chronological_items": (chronological_items, ITEMS_SQL),
     "episode_summaries": (episode_summaries, SUMMARY_SQL),
 }
+
+CONTROLS = {
+    "id": _K, "edge": _pick(["continuation", "fresh_fork", "brain_merge", "resurrection", "odd"], _K), "name": _pick(["", "ada"], _C), "status": _pick(["", "live"], _K), "trace": _pick(["", "t-1", "t-22"], _C), "events": f"CAST({_K} % 900 AS BIGINT)",
+    "claims": _pick(["", "src/a.ts, src/b.ts", "x.py"], _K), "files": _pick(["", "c.md"], _C), "fact": _pick(["", "42 tests passed", "typecheck clean"], _C), "hazards": _pick(["", "provider error"], _K),
+}
+STEPS_INPUT = {"conv_id": "conv_id", "turn": "turn", "scope": "CASE WHEN turn % 3 = 0 THEN NULL ELSE 'src/Mod' || CAST(turn AS VARCHAR(20)) || '.ts, lib/x.py; plain' END", "instruction": "'edit SRC/mod' || CAST(turn AS VARCHAR(20)) || '.TS and docs/a/b.md. ' || text"}
+
+
+def branch_traces(spark: SparkSession, d: str) -> DataFrame:
+    """The steps of a session as runs, the newest that fit 450 characters."""
+    w = W.partitionBy("session").orderBy("pos")
+    t = touches(spark, d).withColumn("step", F.concat("kind", F.lit("("), F.substring_index("path", "/", -1), F.lit(")")))
+    t = t.withColumn("run", F.sum(F.when(F.lag("step").over(w).eqNullSafe(F.col("step")), 0).otherwise(1)).over(w.rowsBetween(W.unboundedPreceding, 0)))
+    runs = t.groupBy("session", "run", "step").agg(F.count(F.lit(1)).alias("n")).withColumn("token", F.concat("step", F.when(F.col("n") > 1, F.concat(F.lit(" ×"), "n")).otherwise("")))
+    used = F.sum(F.length("token").cast("long") + 3).over(W.partitionBy("session").orderBy(F.desc("run")).rowsBetween(W.unboundedPreceding, 0))
+    kept = runs.withColumn("used", used).where("used <= 453")
+    return kept.groupBy("session").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("run", "token"))), lambda x: x["token"]), " → ").alias("trace"), F.min("run").alias("from_run"))
+
+
+TRACE_SQL = f"""WITH {TOUCHES_SQL}, s AS (SELECT *, kind || '(' || split_part(path, '/', -1) || ')' AS step FROM touches), b AS (SELECT *, lag(step) OVER (PARTITION BY session ORDER BY pos) AS before FROM s),
+r AS (SELECT *, sum((before IS NULL OR before <> step)::INT) OVER (PARTITION BY session ORDER BY pos ROWS UNBOUNDED PRECEDING)::BIGINT AS run FROM b), g AS (SELECT session, run, step || CASE WHEN count(*) > 1 THEN ' ×' || count(*) ELSE '' END AS token FROM r GROUP BY session, run, step),
+u AS (SELECT *, sum(len(token) + 3) OVER (PARTITION BY session ORDER BY run DESC ROWS UNBOUNDED PRECEDING) AS used FROM g) SELECT session, string_agg(token, ' → ' ORDER BY run) AS trace, min(run) AS from_run FROM u WHERE used <= 453 GROUP BY session"""
+
+
+def narration_of_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Of every ten turns: up to two lines that tell a verdict or a hazard, declared ones first, and one that gives a reason."""
+    from loomspark.functions import literals as lt
+    from loomspark.plans.rule_queries import _lines
+
+    rows = rules.apply(_lines(spark, d), lt.NARRATION).where("narrates or process = 'process:decision'")
+    rows = rows.withColumn("win", F.floor(F.col("turn") / 10)).withColumn("rank", F.when(~F.col("narrates"), 2).when(F.col("mode").isin("verdict", "hazard"), 0).otherwise(1))
+    order = W.partitionBy("conv_id", "win", F.col("rank") == 2).orderBy("rank", "turn", "i")
+    return rows.withColumn("n", F.row_number().over(order)).where(F.col("n") <= F.when(F.col("rank") == 2, 1).otherwise(2)).select("conv_id", "win", "turn", "i", "rank")
+
+
+def _narration_sql() -> str:
+    from loomspark.functions import literals as lt
+    from loomspark.plans.rule_queries import LINES_SQL
+
+    inner = rules.query(LINES_SQL, lt.NARRATION, ["conv_id", "turn", "i", "narrates", "process", "mode"])
+    return f"""WITH n AS ({inner}), r AS (SELECT *, (turn // 10)::BIGINT AS win, CASE WHEN NOT narrates THEN 2 WHEN mode IN ('verdict', 'hazard') THEN 0 ELSE 1 END AS rank FROM n WHERE narrates OR process = 'process:decision'),
+k AS (SELECT *, row_number() OVER (PARTITION BY conv_id, win, rank = 2 ORDER BY rank, turn, i) AS k FROM r) SELECT conv_id, win, turn, i, rank FROM k WHERE k <= CASE WHEN rank = 2 THEN 1 ELSE 2 END"""
+
+
+QUERIES |= {
+    "receipt_controls": _asked("orders", ORDER, CONTROLS, ln.CONTROL, ["id", "block", "read_edge", "read_trace", "read_events", "read_claims", "read_fact", "valid", "same"]),
+    "predicted_paths": _asked("conversations", TURN, STEPS_INPUT, ln.PREFETCH, ["conv_id", "turn", "predicted"]),
+    "branch_traces": (branch_traces, TRACE_SQL),
+    "window_narration": (narration_of_windows, _narration_sql()),
+}

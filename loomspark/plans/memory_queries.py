@@ -181,3 +181,20 @@ CASE WHEN NOT u.correction AND u.kind <> 'spool' AND f.c < u.cards THEN 'card' W
 SELECT u.session, id, tier, matched, u.place, how AS render FROM u JOIN f ON f.session = u.session AND f.place = u.place WHERE how <> 'none'"""
 
 QUERIES["tiered_recall"] = (tiered_recall, PLAN_SQL)
+
+
+def recall_context(spark: SparkSession, d: str) -> DataFrame:
+    """What a pass shows: its cards, then its hints, while their text fits the character budget of the pressure."""
+    planned = tiered_recall(spark, d)
+    budget = F.element_at(F.array(*map(F.lit, (900, 450, 225, 225))), (F.col("session") % 4 + 1).cast("int"))
+    text = F.concat(F.lit("[Recalled from fold — "), "id", F.lit("]"), F.when(F.col("render") == "card", F.concat(F.lit("\n"), "matched", F.lit("\nbody of "), "id", F.lit("\n[End fold recall]"))).otherwise(""))
+    order = W.partitionBy("session").orderBy("render", "place").rowsBetween(W.unboundedPreceding, 0)
+    shown = planned.withColumn("text", text).withColumn("used", F.sum(F.length("text").cast("long") + 2).over(order)).where(F.col("used") <= budget)
+    return shown.groupBy("session").agg(F.count(F.lit(1)).alias("shown"), F.count_if(F.col("render") == "card").alias("cards"), F.max("used").alias("chars"))
+
+
+CONTEXT_SQL = f"""WITH p AS ({PLAN_SQL}), x AS (SELECT *, '[Recalled from fold — ' || id || ']' || CASE WHEN render = 'card' THEN chr(10) || matched || chr(10) || 'body of ' || id || chr(10) || '[End fold recall]' ELSE '' END AS text FROM p),
+u AS (SELECT *, sum(len(text) + 2) OVER (PARTITION BY session ORDER BY render, place ROWS UNBOUNDED PRECEDING)::BIGINT AS used FROM x)
+SELECT session, count(*) AS shown, count(*) FILTER (render = 'card') AS cards, max(used) AS chars FROM u WHERE used <= [900, 450, 225, 225][session % 4 + 1] GROUP BY session"""
+
+QUERIES["recall_context"] = (recall_context, CONTEXT_SQL)
