@@ -16,7 +16,7 @@ import pyarrow as pa
 from loomspark.llm.common import word_spans
 
 #: Distinct parts kept between slabs, and bytes of text of a slab.
-_KEPT = 450_000
+_KEPT = 300_000
 _SLAB = 8 << 20
 _CHUNK = 100
 _CLOSING = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
