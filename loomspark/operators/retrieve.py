@@ -21,31 +21,28 @@ def inverse_frequency(docs: DataFrame) -> DataFrame:
 
 
 #: A token in one of so many documents or more is frequent. With d distinct tokens a document on average there are at
-#: most d * FREQUENT such tokens, however many documents there are, so they fit a broadcast; its size is checked.
-FREQUENT, BROADCAST_ROWS = 1000, 2_000_000
+#: most d * FREQUENT such tokens, however many documents there are.
+FREQUENT = 1000
 
 
 def weights(docs: DataFrame) -> DataFrame:
     """(doc_id, token, w): (1 + ln tf) idf for tokens of positive idf.
 
-    Texts are dealt by document once, so counting needs no further exchange. Weights of frequent tokens
-    meet their many rows by broadcast and leave them where they are; only rows of rare tokens, of which
-    none is skewed, travel to be joined.
+    Weights of frequent tokens meet their many rows in a join of their own, whose other side has a
+    bounded number of rows: adaptive execution broadcasts it where its measured size allows. Only rows
+    of rare tokens, of which none is skewed, are left to be joined by token.
     """
-    tf = docs.select("doc_id", F.explode(tx.tokens(F.col("text"))).alias("token")).groupBy("doc_id", "token").agg(F.count(F.lit(1)).alias("tf"))
     n = docs.count()
+    tf = docs.select("doc_id", F.explode(tx.tokens(F.col("text"))).alias("token")).groupBy("doc_id", "token").agg(F.count(F.lit(1)).alias("tf"))
     # one row a document and token: frequencies come from the same exchange, so texts are split once
     df = tf.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     idf = df.withColumn("idf", F.log(F.lit(n) / (F.col("df") + 1.0))).where("idf > 0")
-    many = F.col("df") >= max(2, n // FREQUENT)
-    frequent = idf.where(many)
-    if n < FREQUENT * 2 or frequent.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
+    if n < 2 * FREQUENT:
         return tf.join(idf, "token").select("doc_id", "token", ((1 + F.log("tf")) * F.col("idf")).alias("w"))
-    common = F.broadcast(frequent.select("token", F.col("idf").alias("common")))
-    marked = tf.join(common, "token", "left")
-    rare = marked.where("common is null").drop("common").join(idf.where(~many), "token").select("doc_id", "token", "tf", "idf")
-    both = marked.where("common is not null").select("doc_id", "token", "tf", F.col("common").alias("idf")).unionByName(rare)
-    return both.select("doc_id", "token", ((1 + F.log("tf")) * F.col("idf")).alias("w"))
+    many = F.col("df") >= n // FREQUENT
+    common = tf.join(idf.where(many), "token").select("doc_id", "token", "tf", "idf")
+    rare = tf.join(idf.where(~many), "token").select("doc_id", "token", "tf", "idf")
+    return common.unionByName(rare).select("doc_id", "token", ((1 + F.log("tf")) * F.col("idf")).alias("w"))
 
 
 def top_terms(docs: DataFrame, k: int) -> DataFrame:
