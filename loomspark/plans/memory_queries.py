@@ -198,3 +198,16 @@ u AS (SELECT *, sum(len(text) + 2) OVER (PARTITION BY session ORDER BY render, p
 SELECT session, count(*) AS shown, count(*) FILTER (render = 'card') AS cards, max(used) AS chars FROM u WHERE used <= [900, 450, 225, 225][session % 4 + 1] GROUP BY session"""
 
 QUERIES["recall_context"] = (recall_context, CONTEXT_SQL)
+
+
+LOOSE = "CASE event_id % 3 WHEN 0 THEN '{ \"b\" : ' || CAST(event_id AS VARCHAR(20)) || ', \"a\":{\"d\":[2, 1],\"c\":\"' || path || '\"}}' WHEN 1 THEN '[ true,null , {\"z\":1,\"y\":\"é\"} ]' ELSE '{broken' END"
+TIGHT = "CASE event_id % 3 WHEN 0 THEN '{\"a\":{\"c\":\"' || path || '\",\"d\":[2,1]},\"b\":' || CAST(event_id AS VARCHAR(20)) || '}' WHEN 1 THEN '[true,null,{\"y\":\"é\",\"z\":1}]' END"
+
+
+def canonical_digests(spark: SparkSession, d: str) -> DataFrame:
+    """Digests of JSON texts that do not depend on the order of keys or on blanks; none of what is not JSON."""
+    rows = touches(spark, d).selectExpr("event_id", f"{LOOSE} AS value")
+    return rows.select("event_id", F.sha2(memory.canonical_json(F.col("value")), 256).alias("digest"))
+
+
+QUERIES["canonical_digests"] = (canonical_digests, f"WITH {TOUCHES_SQL} SELECT event_id, sha256({TIGHT}) AS digest FROM touches")
