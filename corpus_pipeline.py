@@ -31,8 +31,9 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group whose five-word shingles link at a Jaccard likeness of 0.8 or more.
 
-    The smallest doc_id stays, then the smallest hash of the text; a null doc_id only where its group
-    has no other, and of wholly equal rows one. Null, empty and blank texts are alike and leave one row.
+    SimHash blocks and min-hash bands nominate pairs, the shingles decide each. The smallest doc_id stays,
+    then the smallest hash of the text; a null doc_id only where its group has no other, and of wholly
+    equal rows one. Null, empty and blank texts are alike and leave one row.
     """
     return near_copies.one_of_each(docs.select(*COLUMNS))
 

@@ -1,11 +1,14 @@
-"""Near copies by shingle Jaccard: min-hash bands find candidates, the shingles themselves decide.
-
-At a Jaccard likeness of 0.8 two 64-bit fingerprints differ in about ten bits, which no choice of
-blocks finds without meeting most of the corpus. So a document has ``BANDS`` keys of ``ROWS``
-min-hashes each, and documents that share a key are candidates; two with likeness ``s`` share none
-with probability (1 - s^ROWS)^BANDS, which is 5e-5 at 0.8. Candidates whose share of equal min-hashes
-is three deviations below the least likeness go (about 3e-3 of pairs at it), and each link that remains is decided on the two sets
-of shingle hashes (32 bits, so a likeness is off by about n / 2^32 for n shingles).
+"""Near copies: SimHash blocks and min-hash bands find candidates, the shingles themselves decide.
+
+A document has the keys of ``simhash.keys``, the choices of blocks of its SimHash fingerprint: every two
+documents whose fingerprints differ in at most ``simhash.DISTANCE`` bits share one and are candidates. At a
+Jaccard likeness of 0.8 two 64-bit fingerprints differ in about ten bits, which no choice of blocks finds
+without meeting most of the corpus. So a document also has ``BANDS`` keys of ``ROWS`` min-hashes each, and
+those that share one are candidates too; two with likeness ``s`` share none with probability
+(1 - s^ROWS)^BANDS, which is 5e-5 at 0.8, and go where their share of equal min-hashes is three deviations
+below the least likeness (about 3e-3 of pairs at it). Only pairs that fingerprints and bands both pass over
+are lost. Each candidate is decided on the two sets of shingle hashes (32 bits, so a likeness is off by
+about n / 2^32 for n shingles).
 
 Equal sets collapse to one node before any join. A bucket of up to ``FEW`` nodes gives its pairs, which
 meet their sets by a join. The nodes of a larger one bring their sets along, and a breadth-first walk
@@ -28,7 +31,7 @@ from pyspark.sql import functions as F
 
 from loomspark.llm.common import drop_path, mapped, materialize, mix64, shared_dir
 from loomspark.llm.graph import components
-from loomspark.llm.simhash import keep_first
+from loomspark.llm.simhash import DISTANCE, keep_first, keys, majority
 
 WIDTH = 5
 LIKENESS = 0.8
@@ -81,10 +84,11 @@ def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             low = np.unique((hashes >> np.uint64(32)).astype("<u4"))
             slots = min_hashes(hashes)
             bands = [xxhash.xxh64_intdigest(slots[i * ROWS : (i + 1) * ROWS].tobytes(), i) for i in range(BANDS)]
-            rows.append((xxhash.xxh64_intdigest(hashes.tobytes()), np.array(bands, np.uint64).view(np.int64), slots.astype("<u2").tobytes(), planes(low)))
+            rows.append((xxhash.xxh64_intdigest(hashes.tobytes()), majority(hashes), np.array(bands, np.uint64).view(np.int64), slots.astype("<u2").tobytes(), planes(low)))
         node = np.array([r[0] for r in rows], np.uint64).view(np.int64)
-        columns = [batch.column("doc_id"), batch.column("mark"), pa.array(node), pa.array([r[1] for r in rows], pa.list_(pa.int64())), pa.array([r[2] for r in rows], pa.binary()), pa.array([r[3] for r in rows], pa.binary())]
-        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "mark", "fp", "bands", "slots", "shingles"])
+        print_ = np.array([r[1] for r in rows], np.uint64).view(np.int64)
+        columns = [batch.column("doc_id"), batch.column("mark"), pa.array(node), pa.array(print_), pa.array([r[2] for r in rows], pa.list_(pa.int64())), pa.array([r[3] for r in rows], pa.binary()), pa.array([r[4] for r in rows], pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "mark", "fp", "print", "bands", "slots", "shingles"])
 
 
 def _least(likeness: float) -> int:
@@ -99,21 +103,28 @@ def alike(x: np.ndarray, y: np.ndarray, likeness: float) -> bool:
     return shared >= likeness * (len(both) - shared)
 
 
+def _near(x: np.ndarray, y: np.ndarray, likeness: float) -> np.ndarray:
+    """Which rows of ``x`` and ``y`` may be as alike: by slots, or by the bits of one fingerprint a row."""
+    if x.dtype == np.uint64:
+        return np.bitwise_count(x ^ y)[:, 0] <= DISTANCE
+    return (x == y).sum(axis=1) >= _least(likeness)
+
+
 def candidates(slots: np.ndarray, likeness: float = LIKENESS) -> np.ndarray:
-    """Pairs of rows of ``slots`` that may be as alike, as two columns of places."""
+    """Pairs of rows of ``slots`` (or fingerprints) that may be as alike, as two columns of places."""
     a, b = np.triu_indices(len(slots), 1)
-    near = (slots[a] == slots[b]).sum(axis=1) >= _least(likeness)
+    near = _near(slots[a], slots[b], likeness)
     return np.stack((a[near], b[near]), axis=1)
 
 
 def walk(slots: np.ndarray, shingles_of: Callable[[int], np.ndarray], likeness: float = LIKENESS) -> np.ndarray:
     """Spanning links of the graph of pairs that are as alike, as two columns of places."""
-    least, rest, out = _least(likeness), np.arange(len(slots)), []
+    rest, out = np.arange(len(slots)), []
     while len(rest) > 1:
         queue, rest = [rest[0]], rest[1:]
         while queue and len(rest):
             at = queue.pop()
-            own, near = shingles_of(at), (slots[rest] == slots[at]).sum(axis=1) >= least
+            own, near = shingles_of(at), _near(slots[rest], slots[at], likeness)
             near[near] = [alike(own, shingles_of(i), likeness) for i in rest[near]]
             out += [(at, i) for i in rest[near]]
             queue.extend(rest[near])
@@ -150,20 +161,21 @@ class Bucket:
 
 
 def _links(batches: Iterator[pa.RecordBatch], likeness: float) -> Iterator[pa.RecordBatch]:
-    """Links of the buckets of a partition sorted by key."""
-    key, bucket = None, None
+    """Links of the buckets of a partition sorted by kind of key (``block``: of a fingerprint) and key."""
+    last, bucket = None, None
     for batch in batches:
         if not batch.num_rows:
             continue
-        keys, fps, sets = np.asarray(batch.column("key")), np.asarray(batch.column("fp")), batch.column("shingles").to_pylist()
-        rows = np.frombuffer(b"".join(batch.column("slots").to_pylist()), "<u2").reshape(-1, SLOTS)
-        edges = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+        kinds, shared = batch.column("block").to_numpy(zero_copy_only=False), np.asarray(batch.column("key"))
+        fps, traits, sets = np.asarray(batch.column("fp")), batch.column("trait").to_pylist(), batch.column("shingles").to_pylist()
+        edges = [0, *(np.flatnonzero((shared[1:] != shared[:-1]) | (kinds[1:] != kinds[:-1])) + 1).tolist(), len(shared)]
         for lo, hi in itertools.pairwise(edges):
-            if bucket and keys[lo] != key:
+            if bucket and (kinds[lo], shared[lo]) != last:
                 yield bucket.links(likeness)
                 bucket = None
-            key, bucket = keys[lo], bucket or Bucket()
-            bucket.add(fps[lo:hi], rows[lo:hi], sets[lo:hi])
+            last, bucket = (kinds[lo], shared[lo]), bucket or Bucket()
+            rows = np.frombuffer(b"".join(traits[lo:hi]), "<u8" if kinds[lo] else "<u2").reshape(hi - lo, -1)
+            bucket.add(fps[lo:hi], rows, sets[lo:hi])
     if bucket:
         yield bucket.links(likeness)
 
@@ -177,13 +189,17 @@ def _stand(batches: Iterator[pa.RecordBatch], likeness: float) -> Iterator[pa.Re
 
 
 def links(prints: DataFrame, likeness: float = LIKENESS) -> DataFrame:
-    """(u, v, sure) of distinct nodes of ``prints`` (fp, bands, slots, shingles): candidates, and links that stand."""
+    """(u, v, sure) of distinct nodes of ``prints`` (fp, print, bands, slots, shingles): candidates, and links that stand."""
     nodes = prints.dropDuplicates(["fp"])
-    keyed = nodes.select("fp", "slots", F.explode("bands").alias("key"))
-    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = keyed.select("key", "fp").join(shared, "key").join(nodes.select("fp", "slots", "shingles"), "fp")
-    met = met.select("key", "fp", "slots", F.when(F.col("n") > FEW, F.col("shingles")).alias("shingles"))
-    met = met.repartition("key").sortWithinPartitions("key", "fp")
+    blocks = keys("print", prints.select("print").distinct().count())
+    banded = F.transform("bands", lambda x: F.struct(F.lit(False).alias("block"), x.alias("key")))
+    blocked = F.transform(blocks, lambda x: F.struct(F.lit(True).alias("block"), F.xxhash64(x["choice"], x["bits"]).alias("key")))
+    keyed = nodes.select("fp", F.explode(F.concat(banded, blocked)).alias("k")).select("k.block", "k.key", "fp")
+    shared = keyed.groupBy("block", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    met = keyed.join(shared, ["block", "key"]).join(nodes.select("fp", "print", "slots", "shingles"), "fp")
+    trait = F.when(F.col("block"), F.unhex(F.lpad(F.hex("print"), 16, "0"))).otherwise(F.col("slots"))
+    met = met.select("block", "key", "fp", trait.alias("trait"), F.when(F.col("n") > FEW, F.col("shingles")).alias("shingles"))
+    met = met.repartition("block", "key").sortWithinPartitions("block", "key", "fp")
     return met.transform(mapped, lambda b: _links(b, likeness), "u long, v long, sure boolean").groupBy("u", "v").agg(F.bool_or("sure").alias("sure"))
 
 
@@ -195,7 +211,7 @@ def one_of_each(docs: DataFrame, likeness: float = LIKENESS) -> DataFrame:
     spark = docs.sparkSession
     path = shared_dir(spark)
     marked = docs.select("doc_id", F.xxhash64("text").alias("mark"), "text")
-    rows = materialize(marked.transform(mapped, _prints, "doc_id long, mark long, fp long, bands array<long>, slots binary, shingles binary"), f"{path}/prints")
+    rows = materialize(marked.transform(mapped, _prints, "doc_id long, mark long, fp long, print long, bands array<long>, slots binary, shingles binary"), f"{path}/prints")
     pairs = materialize(links(rows, likeness), f"{path}/pairs")
     open_ = pairs.where("not sure")
     wanted = open_.select(F.explode(F.array("u", "v")).alias("fp")).distinct()

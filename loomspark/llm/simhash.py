@@ -45,7 +45,11 @@ def fingerprint(data: bytes | None, width: int = SHINGLE) -> int:
     else:
         starts, ends = starts[:1], ends[-1:]
     h64 = xxhash.xxh64_intdigest
-    hashes = np.fromiter((h64(joined[s:e], SEED) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)), np.uint64, len(starts))
+    return majority(np.fromiter((h64(joined[s:e], SEED) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)), np.uint64, len(starts)))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in more than half of the 64-bit ``hashes``; zero without any."""
     ones = np.zeros(64, np.int64)
     for i in range(0, len(hashes), _SLAB):
         bits = np.unpackbits(hashes[i : i + _SLAB].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")

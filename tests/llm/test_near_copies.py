@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from loomspark.llm import near_copies
@@ -101,3 +102,44 @@ def test_texts_without_words_and_rows_without_id(spark):
     kept = [x.doc_id for x in stage(spark, frame(spark, texts), "").collect()]
     assert sorted(kept, key=str) == sorted([1, 4, 7, None], key=str)
     assert stage(spark, frame(spark, texts).limit(0), "").count() == 0
+
+
+def just_alike(seed):
+    """Two texts of nine shingles each that share eight of ten."""
+    r = random.Random(seed)
+    words = [f"w{r.randint(0, 10**6)}" for _ in range(14)]
+    return " ".join(words[:13]), " ".join(words[:12] + words[13:])
+
+
+def test_fingerprints_find_what_min_hashes_pass_over(spark):
+    pairs = [just_alike(seed) for seed in (8799, 29649, 79299)]
+    for pair in pairs:
+        assert jaccard(*pair) == 0.8
+        slots = np.stack([near_copies.min_hashes(near_copies.shingles(t.encode())) for t in pair]).astype("<u2")
+        assert not len(near_copies.candidates(slots))
+    texts = [(2 * i + k, pair[k]) for i, pair in enumerate(pairs) for k in (0, 1)]
+    stage = dict(corpus_pipeline.STAGES)["near_duplicates"]
+    assert sorted(x.doc_id for x in stage(spark, frame(spark, texts), "").collect()) == [0, 2, 4]
+
+
+def test_blocks_alone_link_what_is_close_and_alike(spark):
+    r = random.Random(8)
+    base = [f"w{i}" for i in range(300)]
+    texts = [" ".join(base[:i] + [f"x{i}"] + base[i + 1 :]) for i in range(near_copies.FEW * 3)]
+    for _ in range(40):  # short texts: close fingerprints of pairs that are not alike as well
+        words = [f"v{r.randint(0, 10**6)}" for _ in range(30)]
+        texts += [" ".join(words), " ".join(words[:-1]), " ".join([*words[:14], "x", *words[14:]])]
+    docs = frame(spark, list(enumerate(texts))).selectExpr("doc_id", "doc_id as mark", "text")
+    prints = docs.mapInArrow(near_copies._prints, "doc_id long, mark long, fp long, print long, bands array<long>, slots binary, shingles binary")
+    prints = prints.withColumn("bands", F.expr("slice(bands, 1, 0)")).cache()
+    rows = {x.fp: (x.doc_id, x.print) for x in prints.collect()}
+    near = {frozenset((u, v)) for u in rows for v in rows if u < v and ((rows[u][1] ^ rows[v][1]) & (2**64 - 1)).bit_count() <= 4}
+    stands = {p for p in near if jaccard(*(texts[rows[x][0]] for x in p)) >= 0.8}
+    found = near_copies.links(prints, 0.8).collect()
+    sure = [(x.u, x.v) for x in found if x.sure]
+    assert sure and all(frozenset((x.u, x.v)) in near for x in found) and {frozenset(p) for p in sure} <= stands
+    got = [p for x in found if (p := (x.u, x.v)) and frozenset(p) in stands]
+    place = {fp: i for i, fp in enumerate(rows)}
+    groups = lambda links: {frozenset(g) for g in components(len(rows), [tuple(place[x] for x in p) for p in links])}
+    assert groups(got) == groups(stands) and len(stands) > len(near_copies.shingles(texts[0].encode()))
+    prints.unpersist()
